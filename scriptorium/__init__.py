@@ -1 +1,8 @@
 """Paper-retrieval analytics as Spark DataFrame transformations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with their code, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
