@@ -41,7 +41,10 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Searcher:
     """Shift tables and buckets for patterns of words, by pattern length."""
 
-    def __init__(self, items: Iterable[tuple[str, bytes | None]], window: int = 10):
+    def __init__(self, items: Iterable[tuple[str, bytes | None]], window: int = 10, groups: list | None = None):
+        if groups is not None:
+            self.groups = groups
+            return
         found: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
         for name, text in items:
             words = words_of(text)
@@ -111,7 +114,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     out = docs.select(*dict.fromkeys([*keep, text_col]))
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("name", "body"), F.lit(shards)) == k) if shards > 1 else items
-        searcher = docs.sparkSession.sparkContext.broadcast(Searcher((r["name"], bytes(r["body"])) for r in part.toLocalIterator()))
+        searcher = docs.sparkSession.sparkContext.broadcast(Searcher((r["name"], bytes(r["body"])) for r in part.toLocalIterator()).groups)
         first, last = k == 0, k == shards - 1
         schema = T.StructType([f for f in out.schema if f.name not in RESULT.names and (not last or f.name in keep)] + RESULT.fields)
         out = out.mapInArrow(_search(searcher, text_col, [f.name for f in schema if f.name not in RESULT.names], first), schema)
@@ -120,7 +123,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
 
 def _search(searcher, text_col: str, carry: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = searcher.value.spans
+        find = Searcher((), groups=searcher.value).spans
         for batch in batches:
             counts, spans, names = [], [], []
             before = [([], [])] * len(batch) if first else zip(batch["hit_spans"].to_pylist(), batch["hit_items"].to_pylist(), strict=True)
