@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, licenses, line_dedup, mixing, ngram_join, wu_manber
+from . import cascade, licenses, line_dedup, mixing, ngram_join, toxicity, wu_manber
 from .shared import read_table
 
 
@@ -28,6 +28,13 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "neighbours")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("template_spans")
 
@@ -36,4 +43,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op6_quality_rules, op7_source_mixing, op9_license_scan, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op6_quality_rules, op7_source_mixing, op8_toxicity, op9_license_scan, op10_ngram_join)}
