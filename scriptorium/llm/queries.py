@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, licenses, line_dedup, mixing, ngram_join, toxicity, wu_manber
+from . import cascade, licenses, line_dedup, mixing, ngram_join, toxicity, warc, wu_manber
 from .shared import read_table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(read_table(spark, sf_dir, "documents"))
 
@@ -43,4 +47,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op6_quality_rules, op7_source_mixing, op8_toxicity, op9_license_scan, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_line_dedup, op4_decontamination, op6_quality_rules, op7_source_mixing, op8_toxicity, op9_license_scan, op10_ngram_join)}

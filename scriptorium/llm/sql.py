@@ -8,6 +8,20 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _CHAR_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
+# Base32 of the 20 bytes of sha1, five bits at a time.
+OP1 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT page_id, octet_length(body) AS n, hex FROM p),
+bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(CAST(instr('0123456789abcdef', substr(hex, i, 1)) - 1 AS BIGINT)), 4, '0')), '') AS z FROM b),
+d AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(16 * CAST(substr(z, k * 5 + 1, 1) AS INT) + 8 * CAST(substr(z, k * 5 + 2, 1) AS INT) + 4 * CAST(substr(z, k * 5 + 3, 1) AS INT)
+             + 2 * CAST(substr(z, k * 5 + 4, 1) AS INT) + CAST(substr(z, k * 5 + 5, 1) AS INT) + 1 AS INT), 1)), '') AS digest FROM bits)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = min(page_id) OVER (PARTITION BY digest) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = min(page_id) OVER (PARTITION BY digest) THEN NULL ELSE min(page_id) OVER (PARTITION BY digest) END AS refers_to
+FROM d
+"""
+
 OP4 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_CHAR_WORD}') AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '{_CHAR_WORD}') AS w FROM benchmark),
@@ -93,4 +107,4 @@ FROM x
 
 OP9 = _op9()
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4, "op6_quality_rules": OP6, "op7_source_mixing": OP7, "op9_license_scan": OP9}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op4_decontamination": OP4, "op6_quality_rules": OP6, "op7_source_mixing": OP7, "op9_license_scan": OP9}
