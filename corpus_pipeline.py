@@ -1,5 +1,68 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each written and reread.
+
+``STAGES`` lists (name, function); each function takes ``(spark, docs,
+sf_dir)`` and returns a DataFrame.  All but the last return the columns of
+documents; the last adds the size of the document and the number of the copy.
+No stage but the third and fourth can be written as SQL (nearest neighbours,
+and joins of shingle sets at this size), so ``ORACLE_SQL`` is None and the
+stages are tested against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from scriptorium.llm import line_dedup, mixing, ngram_join, shared, toxicity, wu_manber
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples do not call toxic.
+
+    The examples are documents of the corpus as it came, before any stage.
+    """
+    model = toxicity.fit(shared.read_table(spark, sf_dir, "documents"), shared.read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line matches."""
+    return line_dedup.dedup_texts(docs)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    return ngram_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = wu_manber.contamination(docs, shared.read_table(spark, sf_dir, "benchmark"), 10)
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each copy that the mix of sources takes."""
+    mixed = mixing.emit(mixing.mix(docs, carry=[c for c in docs.columns if c != "doc_id"]))
+    return mixed.select(*docs.columns, "size", "copy_no")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder."""
+    docs = shared.read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared.shared_dir(spark).rstrip('/')}/pipeline/{name}-{shared.new_name()}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        shared.release_scratch(spark)
+        docs = spark.read.parquet(path)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, licenses, line_dedup, mixing, ngram_join, toxicity, warc, wu_manber
+from . import cascade, licenses, line_dedup, mixing, ngram_join, secrets_scan, site_quality, toxicity, warc, wu_manber
 from .shared import read_table
 
 
@@ -15,6 +15,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources; a path is the language section of a source."""
+    return site_quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), (F.col("source"), F.col("lang")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(read_table(spark, sf_dir, "documents"), secrets_scan.fit(), keep=["doc_id"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.quality(read_table(spark, sf_dir, "documents"))
 
@@ -47,4 +56,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op3_line_dedup, op4_decontamination, op6_quality_rules, op7_source_mixing, op8_toxicity, op9_license_scan, op10_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op3_line_dedup, op4_decontamination, op5_secret_scan, op6_quality_rules, op7_source_mixing, op8_toxicity, op9_license_scan, op10_ngram_join)}

@@ -64,3 +64,7 @@ def word_count(text: Column) -> Column:
 def hex_fraction(text: Column, digits: int = 8) -> Column:
     """The first hex digits of md5 as a long: the same number in any SQL engine."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def new_name() -> str:
+    return uuid.uuid4().hex
