@@ -54,12 +54,12 @@ def global_top_k(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id:
     for at in range(0, max(1, len(asked)), query_block):
         part = asked.slice(at, query_block)
         sent = spark.sparkContext.broadcast((part[query_id].to_pylist(), np.array(part[query_vec].to_pylist(), np.float64)))
-        hits = chunks.mapInArrow(_scan(sent, query_id, chunk_id, chunk_vec, k), schema)
+        hits = chunks.mapInArrow(_scan(sent, asked.schema.field(query_id).type, query_id, chunk_id, chunk_vec, k), schema)
         out = hits if out is None else out.unionByName(hits)
     return top_k(out, query_id, k, tie=chunk_id)
 
 
-def _scan(sent, query_id: str, chunk_id: str, chunk_vec: str, k: int):
+def _scan(sent, id_type: pa.DataType, query_id: str, chunk_id: str, chunk_vec: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = sent.value
         best_id = best = None
@@ -77,7 +77,7 @@ def _scan(sent, query_id: str, chunk_id: str, chunk_vec: str, k: int):
             best_id, best = np.take_along_axis(all_ids, order, 1), np.take_along_axis(scores, order, 1)
         if best is not None:
             rows = np.repeat(np.arange(len(ids)), best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows]), pa.array(best_id.ravel()).cast(kind), pa.array(best.ravel())], [query_id, chunk_id, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows], id_type), pa.array(best_id.ravel()).cast(kind), pa.array(best.ravel())], [query_id, chunk_id, "score"])
 
     return run
 
