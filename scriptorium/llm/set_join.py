@@ -33,18 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize
+from .shared import MAP_BITS, bitmap, has_bits, materialize
 from .shingles import chunks, shingle_sets
 
 #: Similarity as a whole-number ratio.
 PART, WHOLE = 75, 100
-#: Counters of the sketch, and bits of the maps that the second reading uses: fixed sizes, broadcast.
+#: Counters of the sketch: a fixed size, of which the crowded ones are broadcast.
 COUNTERS = 1 << 18
-MAP_BITS = 1 << 23
 #: Slots that spread the entries of one position band of a list.
 SLOTS = 64
-#: Hash ranges for each shuffle partition.
+#: Hash ranges for each shuffle partition, and shingles that a task packs at once.
 RANGES = 8
+PACK = 1 << 20
 
 
 def least_share(n):
@@ -113,6 +113,9 @@ def _pack(by_line: bool, min_words: int, ranges: int):
                 length = np.minimum(s.n[once], prefix(s.n[once]) + tenth(s.n[once]))
                 held.append(s.hashes[_runs(s.starts[once], length)])
                 owners.append(np.repeat(s.sid[once], length))
+                if sum(map(len, held)) >= PACK:
+                    yield from _flush(np.concatenate(held), np.concatenate(owners), edges, id_type)
+                    held, owners = [], []
             if held:
                 yield from _flush(np.concatenate(held), np.concatenate(owners), edges, id_type)
 
@@ -176,29 +179,15 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _rows(None, id_type, CREDIT, len(sid), sid=sid, cnt=count.astype(np.int32))
 
 
-def _bitmap(rows: DataFrame, key: Column) -> np.ndarray:
-    """A map of ``MAP_BITS`` bits with the bit of every key set; at most 1 MB."""
-    bit = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
-    words = rows.select((bit / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    for batch in words.toArrow().to_batches():
-        out[batch["w"].to_numpy()] = batch["b"].to_numpy()
-    return out.view(np.uint8)
-
-
-def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _reread(by_line: bool, min_words: int, wanted_texts, wanted_sets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_of, sets_of = wanted_texts.value, wanted_sets.value
         for batch in batches:
-            here = np.flatnonzero(_has(texts_of, batch["at"].to_numpy()))
+            here = np.flatnonzero(has_bits(texts_of, batch["at"].to_numpy()))
             texts = [t or b"" for t in batch["text"].take(pa.array(here)).to_pylist()]
             for a, b in chunks(texts):
                 s = shingle_sets(texts[a:b], by_line, min_words)
-                kept = np.flatnonzero((s.n > 0) & _has(sets_of, (s.sid.view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)))
+                kept = np.flatnonzero((s.n > 0) & has_bits(sets_of, (s.sid.view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)))
                 _, once = np.unique(s.sid[kept], return_index=True)
                 kept = kept[once]
                 values = s.hashes[_runs(s.starts[kept], s.n[kept])]
@@ -209,7 +198,7 @@ def _reread(by_line: bool, min_words: int, wanted_texts, wanted_sets):
 
 
 def _prefixes(hot_keys, hot_counts):
-    """Rows for the rarest ``prefix(n)`` shingles of each set, with positions."""
+    """The rarest ``prefix(n)`` shingles of each set, the rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = hot_keys.value, hot_counts.value
@@ -226,10 +215,9 @@ def _prefixes(hot_keys, hot_counts):
             order = np.lexsort((values, rank, owner))
             starts = np.cumsum(n) - n
             length = prefix(n)
-            chosen = order[_runs(starts, length)]
-            pos = np.arange(len(chosen)) - np.repeat(np.cumsum(length) - length, length)
-            row = pa.array(owner[chosen])
-            yield pa.RecordBatch.from_arrays([pa.array(values[chosen]), batch["sid"].take(row), batch["n"].take(row), pa.array(pos.astype(np.int32)), batch["okey"].take(row)], ["h", "sid", "n", "pos", "okey"])
+            chosen = values[order[_runs(starts, length)]]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(chosen))
+            yield pa.RecordBatch.from_arrays([batch["sid"], batch["n"], batch["okey"], lists], ["sid", "n", "okey", "prefix"])
 
     return run
 
@@ -267,8 +255,8 @@ class SetTable:
         self.first = self.members.where("n > 0").groupBy("sid", "n").agg(F.min("okey").alias("okey"), F.count("*").alias("copies"))
         share = F.floor((F.col("n") * PART + WHOLE - 1) / WHOLE)
         candidates = materialize(self.first.join(credits, "sid").where(F.col("cnt") >= F.floor(share / 10) + 1).select("sid", "n", "okey"), "sieved")
-        texts_of = spark.sparkContext.broadcast(_bitmap(candidates, F.col("okey.id")))
-        sets_of = spark.sparkContext.broadcast(_set_bits(candidates))
+        texts_of = spark.sparkContext.broadcast(bitmap(candidates, F.xxhash64("okey.id")))
+        sets_of = spark.sparkContext.broadcast(bitmap(candidates, F.col("sid")))
         again = source.select("text", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)).alias("at")).mapInArrow(_reread(by_line, min_words, texts_of, sets_of), "sid long, hashes array<bigint>")
         self.sets = materialize(again.join(candidates, "sid").dropDuplicates(["sid"]), "sets")
 
@@ -281,27 +269,34 @@ class SetTable:
         crowded = counts.where(F.col("count") > F.lit(mean + 6 * mean**0.5 + 8)).orderBy("c").toArrow()
         keys = spark.sparkContext.broadcast(crowded["c"].to_numpy())
         values = spark.sparkContext.broadcast(crowded["count"].to_numpy())
-        entries = self.sets.mapInArrow(_prefixes(keys, values), T.StructType([T.StructField("h", T.LongType()), *[self.sets.schema[c] for c in ("sid", "n")], T.StructField("pos", T.IntegerType()), self.sets.schema["okey"]]))
-        entries = materialize(entries, "prefixes")
+        schema = T.StructType([*[self.sets.schema[c] for c in ("sid", "n", "okey")], T.StructField("prefix", T.ArrayType(T.LongType()))])
+        self.prefixes = materialize(self.sets.mapInArrow(_prefixes(keys, values), schema), "prefixes")
+        entries = self.prefixes.select("sid", "n", "okey", F.posexplode("prefix").alias("pos", "h"))
         several = entries.groupBy("h").count().where("count > 1").select("h")
-        return materialize(entries.join(several, "h"), "lists")
+        return materialize(entries.join(several, "h").select("h", "sid", "n", "pos", "okey"), "lists")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (``a``, ``b``) whose sets are similar."""
-        one = self.sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-        two = self.sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-        both = pairs.join(two, "b").join(one, "a")
-        common = F.size(F.array_intersect("ha", "hb"))
+        """Those of the pairs (``a``, ``b``) whose sets are similar.
+
+        The prefixes, a quarter of the sets, are compared first: what one set
+        has past its prefix bounds what they may share beyond the prefixes.
+        """
+        both = self._beside(pairs, self.prefixes, "prefix")
+        past = F.greatest("na", "nb") - prefix_length(F.greatest("na", "nb"))
+        both = both.where(F.size(F.array_intersect("xa", "xb")) + past >= overlap_needed(F.col("na"), F.col("nb")))
+        both = self._beside(materialize(both.select("a", "b"), "pairs"), self.sets, "hashes")
+        common = F.size(F.array_intersect("xa", "xb"))
         return both.where(WHOLE * common >= PART * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
+    @staticmethod
+    def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        one = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col(column).alias("xa"))
+        two = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col(column).alias("xb"))
+        return pairs.join(two, "b").join(one, "a")
+
 
-def _set_bits(candidates: DataFrame) -> np.ndarray:
-    bit = F.pmod(F.col("sid"), F.lit(MAP_BITS))
-    words = candidates.select((bit / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    for batch in words.toArrow().to_batches():
-        out[batch["w"].to_numpy()] = batch["b"].to_numpy()
-    return out.view(np.uint8)
+def prefix_length(n: Column) -> Column:
+    return n - F.floor((PART * n + WHOLE - 1) / WHOLE) + 1
 
 
 def blocks(lists: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ GAP = r"[\x20\x09-\x0D]+"
 #: Used only where the session names no shared folder (tests, one machine).
 LOCAL_SHARED = "/tmp/checkpoints"
 
+#: Bits of the maps of hashes that are broadcast: a fixed size, 1 MB.
+MAP_BITS = 1 << 23
+
 _written: list[str] = []
 
 
@@ -68,3 +72,22 @@ def hex_fraction(text: Column, digits: int = 8) -> Column:
 
 def new_name() -> str:
     return uuid.uuid4().hex
+
+
+def bitmap(rows: DataFrame, key: Column) -> np.ndarray:
+    """A map of ``MAP_BITS`` bits with the bit of every long ``key`` set.
+
+    It tells which rows of a large table may have one of the keys: some others
+    pass as well, none that has one is missed.
+    """
+    bit = F.pmod(key, F.lit(MAP_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    words = rows.select((bit / 64).cast("long").alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch["w"].to_numpy()] = batch["b"].to_numpy()
+    return out.view(np.uint8)
+
+
+def has_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
