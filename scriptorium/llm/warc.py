@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import scratch_path
+from .shared import MAP_BITS, bitmap, has_bits, materialize, scratch_path
 
 # Fixed value: an empty gzip member (header, empty deflate block, crc, size).
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -120,25 +120,45 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+def members(data: bytes, step: int = 1 << 14) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and content of each gzip member that is not empty."""
-    at = 0
-    while at < len(data):
-        reader = zlib.decompressobj(31)
-        content = reader.decompress(data[at:] if at else data)
-        length = len(data) - at - len(reader.unused_data)
-        if content:
-            yield at, length, content
-        at += length
+    view, at = memoryview(data), 0
+    while at < len(view):
+        reader, parts, end = zlib.decompressobj(31), [], at
+        while not reader.eof:
+            if end >= len(view):
+                raise EOFError("a gzip member is cut off")
+            parts.append(reader.decompress(view[end : end + step]))
+            end = min(len(view), end + step)
+        end -= len(reader.unused_data)
+        if content := b"".join(parts):
+            yield at, end - at, content
+        at = end
 
 
 def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """``page_id, url, payload, sha1, first_id, revisit`` for every page."""
+    """``page_id, url, payload, sha1, first_id, revisit`` for every page.
+
+    A bitmap of the payloads that occur more than once parts the pages first:
+    those that surely have no copy are not shuffled.
+    """
     page = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    page = page.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    page = page.withColumn("sha1", F.unhex(F.sha1("payload")))
     copies = page.where(F.length("payload") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    out = page.join(copies, ["sha1", "salt"], "left")
+    copies = materialize(copies, "copies")
+    bits = page.sparkSession.sparkContext.broadcast(bitmap(copies, F.xxhash64("sha1")))
+    page = page.withColumn("at", F.pmod(F.xxhash64("sha1"), F.lit(MAP_BITS)))
+
+    def part(copied: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(has_bits(bits.value, batch["at"].to_numpy()) == copied))
+
+        return page.mapInArrow(run, page.schema).drop("at")
+
+    salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    again = part(True).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(salted, ["sha1", "salt"], "left").drop("salt")
+    out = part(False).withColumn("first_id", F.lit(None).cast(page.schema["page_id"].dataType)).unionByName(again)
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
     return out.select("page_id", "url", "payload", "sha1", "first_id", revisit.alias("revisit"))
 
@@ -211,7 +231,7 @@ def _block_directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def build_index(spark: SparkSession, archives: str, path: str, per_block: int = 1000, blocks_per_file: int = 2000) -> None:
     """Write ``blocks`` and ``directory`` of the archives below ``path``."""
-    entries = _files(spark, archives).mapInArrow(_capture_entries, ENTRY)
+    entries = materialize(_files(spark, archives).mapInArrow(_capture_entries, ENTRY), "captures")  # range sorting reads them twice
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = entries.repartitionByRange(parts, "key", "record").sortWithinPartitions("key", "record")
     _write_members(ordered.mapInArrow(_pack_blocks(per_block), "value binary"), f"{path}/blocks", blocks_per_file)
