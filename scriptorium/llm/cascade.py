@@ -90,7 +90,6 @@ RULES = (
     Rule("duplicate_lines", lambda: 10 * F.col("n_dup_lines") <= 3 * (F.regexp_count("_text", F.lit(r"\n")) + 1)),
     Rule("exclamations", lambda: 10 * F.regexp_count("_text", F.lit("!")) <= F.col("n_words")),
     Rule("capitals", lambda: 2 * F.regexp_count("_text", F.lit("[A-Z]")) <= F.col("word_chars")),
-    Rule("repeated_words", lambda: 100 * F.col("n_repeat_words") <= 20 * F.col("n_words")),
 )
 
 

@@ -52,7 +52,7 @@ m AS (SELECT doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 14 * n_words AND 10 * n_symbols <= n_words
-       AND 10 * n_dup_lines <= 3 * len(string_split(text, chr(10))) AND 100 * n_repeat_words <= 20 * n_words
+       AND 10 * n_dup_lines <= 3 * len(string_split(text, chr(10)))
        AND 10 * (length(text) - length(replace(text, '!', ''))) <= n_words
        AND 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) <= word_chars AS kept
 FROM f
