@@ -36,6 +36,8 @@ from .shared import materialize
 from .wu_manber import words_of
 
 BLOCK = 64
+#: Blocks that are opened together before the bound is looked at again.
+OPENED = 8
 BEGINNINGS = (4, 5, 6)
 
 
@@ -92,21 +94,23 @@ class BlockMaxIndex:
             return np.zeros(0, np.int64), np.zeros(0)
         bound = weights @ self.most[ids]
         best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        row = ids * self.blocks
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
+        order = np.argsort(-bound, kind="stable")
+        for at in range(0, len(order), OPENED):
+            group = order[at : at + OPENED]
+            group = group[(bound[group] > 0) & ((len(best) < k) | (bound[group] >= (best[-1] if len(best) else 0) - 1e-12))]
+            if not len(group):
                 break
-            score = np.zeros(BLOCK)
-            starts, ends = self.starts[row + b], self.starts[row + b + 1]
-            for j in np.flatnonzero(ends > starts):
-                at = slice(starts[j], ends[j])
-                score[self.owner[at] - b * BLOCK] += weights[j] * self.weight[at]
+            cells = (ids[:, None] * self.blocks + group[None, :]).ravel()
+            first = self.starts[cells]
+            length = self.starts[cells + 1] - first
+            entries = np.arange(int(length.sum())) + np.repeat(first - (np.cumsum(length) - length), length)
+            parts = np.repeat(np.repeat(weights, len(group)), length) * self.weight[entries]
+            score = np.bincount(self.owner[entries], parts, self.size)
+            if skip >= 0:
+                score[skip] = 0
             here = np.flatnonzero(score > 0)
-            all_ids = np.concatenate((best_ids, here + b * BLOCK))
+            all_ids = np.concatenate((best_ids, here))
             scores = np.concatenate((best, score[here]))
-            if skip >= 0:
-                keep = all_ids != skip
-                all_ids, scores = all_ids[keep], scores[keep]
             top = np.lexsort((all_ids, -scores))[:k]
             best_ids, best = all_ids[top], scores[top]
         return best_ids, best
@@ -204,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     rows = sorted(sample.mapInArrow(vectors, "id string, y int, ids array<long>, weights array<double>").collect(), key=lambda r: (r["id"], r["ids"], r["weights"]))
     blank = [r["y"] for r in rows if not r["ids"]]
-    full = [r for r in rows if r["ids"]]
+    # Examples with the same heaviest terms lie together, so that the bounds of blocks are close.
+    full = sorted((r for r in rows if r["ids"]), key=lambda r: [i for _, i in sorted(zip(r["weights"], r["ids"], strict=True), key=lambda x: (-x[0], x[1]))[:4]])
     base = (sum(blank) + n1 / (n0 + n1)) / (len(blank) + 1)
     model = Model(terms, idf, [(np.array(r["ids"], np.int64), np.array(r["weights"])) for r in full], [r["y"] for r in full], base, k, smooth)
     model.example_ids = [r["id"] for r in full]
