@@ -228,8 +228,13 @@ def overlap_needed(a: Column, b: Column) -> Column:
 
 
 def may_reach(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    """Length and positional filter for sets that share a shingle at p1 and p2."""
-    return (WHOLE * F.least(n1, n2) >= PART * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= overlap_needed(n1, n2))
+    """Length and positional filter for sets whose first common shingle is at
+    p1 and p2: all that they share stands there or later in both.
+
+    A pair that is not similar by this shingle may be so by an earlier one,
+    which has a list of its own.
+    """
+    return (WHOLE * F.least(n1, n2) >= PART * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= overlap_needed(n1, n2))
 
 
 class SetTable:
@@ -317,7 +322,7 @@ def pivots(lists: DataFrame, after: DataFrame | None = None) -> DataFrame:
 def pivot_pairs(lists: DataFrame, first: DataFrame) -> DataFrame:
     """Pairs (pivot, entry) that pass the filters, blocks being skipped first."""
     near = blocks(lists).join(first, "h")
-    room = F.least(F.col("p.n") - F.col("p.pos"), F.col("max_n") - F.col("min_pos")) + F.col("p.pos")
+    room = F.least(F.col("p.n") - F.col("p.pos"), F.col("max_n") - F.col("min_pos"))
     near = near.where((room >= overlap_needed(F.col("p.n"), F.col("min_n"))) & (WHOLE * F.col("max_n") >= PART * F.col("p.n")) & (WHOLE * F.col("p.n") >= PART * F.col("min_n")))
     one = near.select("p", F.explode("entries").alias("e")).where(F.col("p.sid") != F.col("e.sid"))
     one = one.where(may_reach(F.col("p.n"), F.col("p.pos"), F.col("e.n"), F.col("e.pos")))
