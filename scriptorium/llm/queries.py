@@ -21,7 +21,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(read_table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_report(read_table(spark, sf_dir, "documents"), min_words=line_dedup.EVERY_LINE)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
