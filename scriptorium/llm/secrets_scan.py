@@ -11,8 +11,8 @@ a few arrays of fixed size and travels with the function.
 Labelled findings have the columns ``candidate``, ``path``, ``before``,
 ``after`` and ``label``; at most ``max_findings`` rows (the smallest hashes)
 are used.  Where none are given, :func:`example_findings` makes them from rules
-and a seed: random keys in the wording around real ones, and look-alikes such
-as placeholders, words, digests and sequences.
+and a seed, for every scanned kind: random keys in the wording around real ones,
+and look-alikes such as placeholders, words, digests and sequences.
 
 Defined results: null and empty texts have no candidates; very long runs are
 one candidate, judged whole; overlapping candidates are reported once (the
@@ -178,6 +178,31 @@ def example_findings(n: int = 1500, seed: int = 5) -> list[tuple[str, str, str,
             )[kind]
             before += (" ", ' password = "', ' token = "', rng.choice((" commit ", " checksum sha1: ")), ' secret = "', ' token = "', ' password: "')[kind]
             out.append((value, rng.choice((path, "tests", "examples")), before, after, 0))
+    return out + _kind_findings(n // 2, random.Random(seed + 1))
+
+
+def _kind_findings(n: int, rng: random.Random) -> list[tuple[str, str, str, str, int]]:
+    """Findings of the kinds with a fixed frame: key headers, web tokens and all token prefixes.
+
+    The frame of a key header is the same in look-alikes, which are told by
+    their path and by the words beside them.
+    """
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    upper, digits, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    base64 = upper + lower + digits
+    prose = lambda: " ".join(pick(lower, rng.randint(2, 9)) for _ in range(5))
+    out = []
+    for i in range(n):
+        kind, real = i // 2 % 3, i % 2
+        path, before, after = rng.choice(("src", "web", "docs", "config", "")), prose() + rng.choice((" ", "\n", ' = "')), " " + prose()
+        if kind == 0:
+            value = f"-----BEGIN {rng.choice(('', '', 'RSA ', 'EC ', 'DSA ', 'OPENSSH ', 'ENCRYPTED '))}PRIVATE KEY-----"
+            after = "\n" + (pick(base64 + "+/", 47) if real else rng.choice(("example key", "placeholder", "dummy", "test only")) + after)
+        elif kind == 1:
+            value = f"eyJ{pick(base64 + '-_', rng.randint(15, 40))}.eyJ{pick(base64 + '-_', rng.randint(20, 200))}.{pick(base64 + '-_', 43)}" if real else rng.choice(("eyJhbGciOiJIUzI1NiJ9.payload-here.signature-here", "eyJ" + "x" * 20 + "." + "x" * 20 + "." + "x" * 20, "eyJheader-part.payload-part.signature"))
+        else:
+            value = rng.choice(("gho_", "ghu_", "ghs_", "ghr_")) + (pick(base64, 36) if real else pick("xX0A", 1) * 36) if i % 4 < 2 else "ASIA" + (pick(upper + digits, 16) if real else pick("XA0", 1) * 16)
+        out.append((value, path if real else rng.choice((path, "tests", "examples")), before, after, real))
     return out
 
 
