@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.evaluation import evidence_sentences, gold_answers, max_token_f1, recall_at_k
 from ..functions.text import numbered_context
 from ..operators.incremental import pending
-from ..operators.retrieval import scoped_top_k
+from ..operators.retrieval import global_top_k, scoped_top_k
 from ..operators.summaries import generate
 
 SYSTEM = "Answer the question from the numbered passages only, in a phrase or one sentence. If they do not hold the answer, reply: Unanswerable."
@@ -20,20 +20,28 @@ def with_gold(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", "paper_id", "question", gold_answers(F.col("answers")).alias("gold_answers"), evidence_sentences(F.col("answers")).alias("gold_evidence"))
 
 
-def retrieve(questions: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
+def retrieve(questions: DataFrame, index: DataFrame, k: int = 5, scoped: bool = True) -> DataFrame:
     """Questions (``question_id, paper_id, q``) with their k nearest chunks as
-    ``hits``, ordered; questions without chunks keep an empty array."""
+    ``hits``, ordered; questions without chunks keep an empty array.
+
+    The chunks are those of the question's paper, or all of them if not ``scoped``.
+    """
     chunks = index.select(F.col("arxiv_id").alias("paper_id"), "chunk_id", "chunk_idx", "text", F.col("embedding").alias("v"))
-    found = scoped_top_k(questions.select("question_id", "paper_id", "q"), chunks, "paper_id", "question_id", "chunk_idx", k)
+    if scoped:
+        found = scoped_top_k(questions.select("question_id", "paper_id", "q"), chunks, "paper_id", "question_id", "chunk_idx", k)
+    else:
+        found = global_top_k(questions, chunks, "question_id", "chunk_idx", k).join(chunks.drop("v"), "chunk_idx")
     hits = found.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.col("paper_id").alias("arxiv_id"), "text", "score"))).alias("hits"))
     return questions.join(hits, "question_id", "left").withColumn("hits", F.coalesce("hits", F.expr("filter(array(struct(0 as rank, '' as chunk_id, '' as arxiv_id, '' as text, 0D as score)), x -> false)")))
 
 
-def evaluate(questions: DataFrame, index: DataFrame, build: Callable, k: int = 5, done: DataFrame | None = None, max_answer_tokens: int = 128) -> DataFrame:
-    """Evaluation rows for questions that are in the corpus and not done yet."""
+def evaluate(questions: DataFrame, index: DataFrame, build: Callable, k: int = 5, done: DataFrame | None = None, max_answer_tokens: int = 128, scoped: bool = True) -> DataFrame:
+    """Evaluation rows for questions that are not done yet, and whose paper is
+    in the corpus if the search is ``scoped``; else ``chunk_idx`` must be unique."""
     todo = questions if done is None else pending(questions, done, "question_id")
-    todo = todo.join(index.select(F.col("arxiv_id").alias("paper_id")).distinct(), "paper_id", "left_semi")
-    rows = retrieve(todo, index, k)
+    if scoped:
+        todo = todo.join(index.select(F.col("arxiv_id").alias("paper_id")).distinct(), "paper_id", "left_semi")
+    rows = retrieve(todo, index, k, scoped)
     texts = F.transform("hits", lambda h: h["text"])
     prompt = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nContext:\n"), numbered_context(texts), F.lit("\n\nAnswer:"))
     rows = generate(rows.withColumn("prompt", prompt), build, SYSTEM, "prompt", "raw", max_tokens=max_answer_tokens, temperature=0.0, num_ctx=4096)
