@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,32 +16,74 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Used only where the session names no shared folder (tests, one machine).
+#: Used only where the session names no shared folder and runs on one machine.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 #: Bits of the maps of hashes that are broadcast: a fixed size, 1 MB.
 MAP_BITS = 1 << 23
 
-_written: list[str] = []
+#: With this setting the shuffle files of a job go with its end: a written table needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SHARED}"
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, only a session on one machine has a folder of its own;
+    a cluster has no folder that all its machines see, and is refused.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return f"file://{LOCAL_SHARED}"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, remembered for :func:`release_scratch`."""
-    path = f"{shared_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    """A new path below the application's scratch folder.
+
+    It goes when the innermost :func:`scratch_scope` ends; without a scope it
+    stays, because lazy results may read it, until the application ends.
+    """
+    root = f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    if (mine := _scope.get()) is not None:
+        mine.append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the scratch tables that were written inside.
+
+    Results made inside have to be written inside; those of other code are not touched.
+    """
+    mine: list[str] = []
+    before = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        for path in mine:
+            delete_path(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP) if spark.conf.isModifiable(CLEANUP) else None
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,15 +93,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table written so far by this process.
-
-    Call it once the results that were derived from them have been written.
-    """
-    while _written:
-        delete_path(spark, _written.pop())
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,6 +107,11 @@ def hex_fraction(text: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
+def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
+    """Rows that labels are never learnt from; a null id is never held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
+
+
 def new_name() -> str:
     return uuid.uuid4().hex
 
