@@ -2,13 +2,14 @@
 
 A rule is a named boolean expression that is true for a text that passes.  The
 time of each rule and the share of texts that it rejects are estimated on a
-sample; the rules are then put in order of rejection per cost, and a text meets
+sample of about ``sample_rows`` texts; the rules are then put in order of rejection per cost, and a text meets
 the rules in that order until one fails.  The order changes the time taken and
 never the verdict, which is that all rules pass.
 
 Defined results: a null or empty text has no words and fails the base test;
 texts of any length are measured whole; repeated rows give repeated results;
-empty tables give empty results.
+rules of equal rejection per cost are ordered by name; other columns of the
+table are ignored, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +55,9 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered(F.array_sort(F.transform(twice, lambda x: x["i"])), 8))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def measures(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long),
     and the text as ``_text`` for rules that look at it themselves."""
@@ -97,28 +102,38 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def estimate_order(measured: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
+def sample_of(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About ``rows`` rows, drawn alike from all partitions without a shuffle."""
+    total = docs.count()
+    return docs.sample(False, min(1.0, rows / max(1, total)), seed)
+
+
+def estimate_order(measured: DataFrame, rules: Sequence[Rule] = RULES, repeats: int = 3) -> list[tuple[Rule, float, float]]:
     """Rules by falling rejection per second, with rejection and seconds.
 
-    The sample only sets the order; its size bounds the time that this takes.
+    ``measured`` is a sample, which only sets the order.  Each time is the
+    median of ``repeats`` runs over it.
     """
-    rows = measured.limit(sample_rows).cache()
+    rows = measured.cache()
     try:
         total = rows.count()
-        blank = _seconds(rows, F.lit(True))
+        blank = _seconds(rows, F.lit(True), repeats)
         found = []
         for rule in rules:
             rejected = rows.where(~rule.passes()).count() / max(1, total)
-            found.append((rule, rejected, max(1e-6, _seconds(rows, rule.passes()) - blank)))
+            found.append((rule, rejected, max(1e-6, _seconds(rows, rule.passes(), repeats) - blank)))
     finally:
         rows.unpersist()
     return sorted(found, key=lambda x: (-x[1] / x[2], x[0].name))
 
 
-def _seconds(rows: DataFrame, condition: Column) -> float:
-    began = time.perf_counter()
-    rows.where(condition).count()
-    return time.perf_counter() - began
+def _seconds(rows: DataFrame, condition: Column, repeats: int) -> float:
+    took = []
+    for _ in range(repeats):
+        began = time.perf_counter()
+        rows.where(condition).count()
+        took.append(time.perf_counter() - began)
+    return median(took)
 
 
 def cascade(order: Sequence[Rule]) -> Column:
@@ -131,7 +146,13 @@ def cascade(order: Sequence[Rule]) -> Column:
 
 
 def quality(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES, sample_rows: int = 2000) -> DataFrame:
-    """Measures, ``base_failed`` and ``kept`` for every document."""
-    order = [r for r, _, _ in estimate_order(measures(docs.limit(sample_rows), text_col, keep), rules, sample_rows)]
+    """Measures, ``base_failed`` and ``kept`` for every document.
+
+    Columns in ``keep`` must not have the name of a measure or of ``_text``,
+    ``_words``, ``_lines``, ``_n`` or ``_hashes``; a ValueError says so.
+    """
+    if clash := {*keep} & {*MEASURES, "_text", "_words", "_lines", "_n", "_hashes", "base_failed", "kept"}:
+        raise ValueError(f"columns with names of results: {sorted(clash)}")
+    order = [r for r, _, _ in estimate_order(measures(sample_of(docs.select(text_col), sample_rows), text_col), rules)]
     out = measures(docs, text_col, keep).withColumn("base_failed", base_failed())
     return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(order).isNull())).drop("_text")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cascade, licenses, line_dedup, mixing, ngram_join, secrets_scan, site_quality, toxicity, warc, wu_manber
-from .shared import read_table
+from .shared import held_out, read_table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets_scan.scan(read_table(spark, sf_dir, "documents"), secrets_scan.fit(), keep=["doc_id"])
+    docs = read_table(spark, sf_dir, "documents")
+    forest = secrets_scan.fit(secrets_scan.planted_findings(secrets_scan.corpus_contexts(docs)))
+    return secrets_scan.scan(docs, forest, keep=["doc_id"])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model, keep=["doc_id"])
-    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "neighbours")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "neighbours")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ a few arrays of fixed size and travels with the function.
 
 Labelled findings have the columns ``candidate``, ``path``, ``before``,
 ``after`` and ``label``; at most ``max_findings`` rows (the smallest hashes)
-are used.  Where none are given, :func:`example_findings` makes them from rules
-and a seed, for every scanned kind: random keys in the wording around real ones,
-and look-alikes such as placeholders, words, digests and sequences.
+are used.  Where no findings are labelled by hand, :func:`planted_findings`
+labels them by contract: random values in the public format of every kind
+(label 1) and look-alikes such as placeholders, words, repeats, sequences and
+checksums (label 0) are planted into passages cut from the corpus, at most
+``max_contexts`` of them, from documents that are not held out.
 
 Defined results: null and empty texts have no candidates; very long runs are
 one candidate, judged whole; overlapping candidates are reported once (the
@@ -27,7 +29,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +37,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Public formats of credentials.
+from .shared import held_out
+
+# Public formats of credentials, with a literal that stands in every match.
 PATTERNS = {
-    "aws_access_key": r"(?<![A-Za-z0-9])(?P<v0>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])",
-    "github_token": r"(?<![A-Za-z0-9])(?P<v1>gh[pousr]_[A-Za-z0-9]{36,})",
-    "json_web_token": r"(?<![A-Za-z0-9])(?P<v2>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)",
-    "private_key": r"(?P<v3>-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----)",
-    "assignment": r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"'](?P<v4>[^\"'\s]{8,})[\"']",
+    "aws_access_key": (r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])", ("AKIA", "ASIA")),
+    "github_token": (r"(?<![A-Za-z0-9])(?P<v>gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})", ("gh",)),
+    "gitlab_token": (r"(?<![A-Za-z0-9])(?P<v>glpat-[A-Za-z0-9_-]{20,})", ("glpat-",)),
+    "slack_token": (r"(?<![A-Za-z0-9])(?P<v>xox[abprs]-[A-Za-z0-9-]{10,})", ("xox",)),
+    "stripe_key": (r"(?<![A-Za-z0-9])(?P<v>[rs]k_(?:live|test)_[A-Za-z0-9]{16,})", ("k_live_", "k_test_")),
+    "google_api_key": (r"(?<![A-Za-z0-9])(?P<v>AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", ("AIza",)),
+    "npm_token": (r"(?<![A-Za-z0-9])(?P<v>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", ("npm_",)),
+    "json_web_token": (r"(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", ("eyJ",)),
+    "private_key": (r"(?P<v>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", ("-----BEGIN ",)),
+    "url_password": (r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:(?P<v>[^\s:/@]{6,})@", ("://",)),
+    "assignment": (r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s{0,8}(?:=|:|:=|=>)\s{0,8}[\"']?(?P<v>[^\"'\s,;]{8,})", ("=", ":")),
 }
-_SCAN = re.compile("|".join(PATTERNS.values()))
+_SCAN = {k: (re.compile(p), words) for k, (p, words) in PATTERNS.items()}
 _KINDS = list(PATTERNS)
 
 # Words that tell of secrets, of examples, and common words.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "key", "credential", "auth", "login")
-EXAMPLE_WORDS = ("example", "sample", "dummy", "test", "placeholder", "changeme", "fake", "commit", "sha", "checksum", "digest", "uuid")
+EXAMPLE_WORDS = ("example", "sample", "dummy", "test", "placeholder", "changeme", "fake", "mock", "commit", "sha", "checksum", "digest", "uuid")
 DICTIONARY = ("the", "and", "for", "your", "here", "my", "this", "that", "pass", "word", "admin", "user", "name", "hello", "world", "change", "value", "none", "null", "true", "false", "default", "insert", "foo", "bar", "demo", "qwerty", "abc", "xxx", *SECRET_WORDS, *EXAMPLE_WORDS)
 #: Characters of text on each side whose words are neighbours.
 BESIDE = 48
@@ -70,7 +80,16 @@ def coverage(candidate: str) -> float:
     return sum(held) / max(1, len(low))
 
 
-FEATURES = ("length", "transitions", "kinds", "entropy", "longest_run", "digits", "upper", "hex_only", "steps", "coverage", "distinct", "secret_beside", "example_beside", "example_path", "assigned")
+_ADDRESS = re.compile(r"\S*[A-Za-z0-9][.@/][A-Za-z0-9]\S*")
+_RUN = re.compile(r"[A-Za-z0-9+/]+")
+
+
+def words_beside(text: str) -> set[str]:
+    """Whole lower-cased words, without those inside addresses."""
+    return set(re.findall(r"[a-z]+", _ADDRESS.sub(" ", text).lower()))
+
+
+FEATURES = ("length", "transitions", "kinds", "entropy", "longest_run", "digits", "upper", "hex_only", "steps", "coverage", "distinct", "secret_beside", "example_beside", "example_path", "assigned", "run_after")
 
 
 def features(candidate: str, path: str, before: str, after: str) -> list[float]:
@@ -81,7 +100,7 @@ def features(candidate: str, path: str, before: str, after: str) -> list[float]:
     for a, b in zip(candidate, candidate[1:], strict=False):
         run = run + 1 if a == b else 1
         longest = max(longest, run)
-    beside = f"{before} {after}".lower()
+    beside = words_beside(f"{before} {after}")
     return [
         math.log(n),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
@@ -94,10 +113,11 @@ def features(candidate: str, path: str, before: str, after: str) -> list[float]:
         sum(ord(b) - ord(a) == 1 for a, b in zip(candidate, candidate[1:], strict=False)) / n,
         coverage(candidate),
         len(counts) / n,
-        float(any(w in beside for w in SECRET_WORDS)),
-        float(any(w in beside for w in EXAMPLE_WORDS)),
-        float(any(w in path.lower() for w in EXAMPLE_WORDS)),
+        float(not beside.isdisjoint(SECRET_WORDS)),
+        float(not beside.isdisjoint(EXAMPLE_WORDS)),
+        float(any(w.rstrip("s") in EXAMPLE_WORDS for w in re.findall(r"[a-z]+", path.lower()))),
         float(before.rstrip()[-1:] in ("=", ":", '"', "'")),
+        float(max(map(len, _RUN.findall(after)), default=0)),
     ]
 
 
@@ -151,79 +171,129 @@ class Forest:
         return total / len(self.trees)
 
 
-def example_findings(n: int = 1500, seed: int = 5) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings from rules: (candidate, path, before, after, label)."""
-    rng = random.Random(seed)
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def _values(rng: random.Random) -> dict[str, tuple[Callable[[], str], Callable[[], str]]]:
+    """For each kind a maker of random values and one of look-alikes, both
+    with the text around them; the value stands between the marks."""
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    upper, digits, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "abcdefghijklmnopqrstuvwxyz"
-    prose = lambda: " ".join(pick(lower, rng.randint(2, 9)) for _ in range(5))
-    out = []
-    for i in range(n):
-        path, before, after = rng.choice(("src", "web", "docs", "config", f"site{i % 7}")), prose(), prose()
-        if i % 2:
-            kind = i // 2 % 4
-            value = ("AKIA" + pick(upper + digits, 16), pick("0123456789abcdef", 40), "ghp_" + pick(upper + lower + digits, 36), pick(upper + lower + digits + "+/", rng.randint(20, 44)))[kind]
-            before += (" ", ' token = "', " ", rng.choice((' secret = "', ' api_key: "')))[kind]
-            out.append((value, path, before, after, 1))
-        else:
-            kind = i // 2 % 7
-            value = (
-                "AKIA" + rng.choice(("IOSFODNN7EXAMPLE", "XXXXXXXXXXXXXXXX", "AAAAAAAAAAAAAAAA", "1234567890ABCDEF")),
-                rng.choice(("changeme", "your-token-here", "placeholder", "password123", "my_secret_value", "insert-key-here", "example-token")),
-                pick("x*.-0", 1) * rng.randint(8, 40),
-                hashlib.sha1(str(i).encode()).hexdigest(),
-                "".join(rng.choice(DICTIONARY) for _ in range(rng.randint(2, 6))) + "!" * 3,
-                digits * rng.randint(1, 4),
-                lower[: rng.randint(8, 26)],
-            )[kind]
-            before += (" ", ' password = "', ' token = "', rng.choice((" commit ", " checksum sha1: ")), ' secret = "', ' token = "', ' password: "')[kind]
-            out.append((value, rng.choice((path, "tests", "examples")), before, after, 0))
-    return out + _kind_findings(n // 2, random.Random(seed + 1))
-
-
-def _kind_findings(n: int, rng: random.Random) -> list[tuple[str, str, str, str, int]]:
-    """Findings of the kinds with a fixed frame: key headers, web tokens and all token prefixes.
-
-    The frame of a key header is the same in look-alikes, which are told by
-    their path and by the words beside them.
+    mixed, hexes = _UPPER + _LOWER + _DIGITS, "0123456789abcdef"
+    word = lambda: rng.choice(DICTIONARY)
+
+    def dull(k: int) -> str:
+        """A value of k characters that nobody would draw at random."""
+        made = rng.choice((pick("xX0A*", 1) * k, (_DIGITS * k)[:k], (_LOWER * k)[:k], ("".join(word() for _ in range(k)))[:k], ("EXAMPLE" * k)[:k], ("abc123" * k)[:k]))
+        return made
+
+    def framed(start: Callable[[], str], chars: str, size: Callable[[], int]) -> tuple[Callable[[], str], Callable[[], str]]:
+        return (lambda: f"\x01{start()}{pick(chars, size())}\x02"), (lambda: f"\x01{start()}{dull(size())}\x02")
+
+    name = lambda: rng.choice(("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "API_KEY", "SECRET"))
+    opens = lambda: rng.choice(((" = \"", "\""), ("=\"", "\""), (": '", "'"), (": ", ""), ("=", ""), (" = ", "")))
+
+    def random_value() -> str:
+        return rng.choice((lambda: pick(hexes, rng.choice((32, 40, 64))), lambda: pick(mixed + "+/", rng.randint(16, 64)), lambda: pick(mixed, rng.randint(12, 40)), lambda: pick(mixed + "!#$%^&*_-", rng.randint(10, 24))))()
+
+    def plain_value() -> str:
+        return rng.choice((lambda: "-".join((word(), word(), word())), lambda: f"<{word()}-{word()}>", lambda: "${" + word().upper() + "_" + word().upper() + "}", lambda: f"os.environ[{word()}]", lambda: f"get_{word()}_{word()}()", lambda: dull(rng.randint(8, 40)), lambda: pick(_LOWER, rng.randint(8, 11)), lambda: word() + word() + pick(_DIGITS, 3)))()
+
+    def assigned(value: Callable[[], str]) -> Callable[[], str]:
+        def made() -> str:
+            left, right = opens()
+            return f"{name()}{left}\x01{value()}\x02{right}"
+
+        return made
+
+    checksum = lambda: f"{rng.choice(('commit', 'sha', 'checksum', 'digest'))} {name()}: \x01{hashlib.sha1(pick(_LOWER, 6).encode()).hexdigest()}\x02"
+    likeness = assigned(plain_value)
+    key = lambda: rng.choice(("", "", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "))
+    body = lambda: rng.choice((f"\n{pick(mixed + '+/', 47)}", f"\n{pick(mixed + '+/', 47)}", ""))
+    web = mixed + "-_"
+    return {
+        "aws_access_key": framed(lambda: rng.choice(("AKIA", "ASIA")), _UPPER + _DIGITS, lambda: 16),
+        "github_token": framed(lambda: f"gh{rng.choice('pousr')}_", mixed, lambda: 36),
+        "gitlab_token": framed(lambda: "glpat-", web, lambda: 20),
+        "slack_token": framed(lambda: f"xox{rng.choice('abprs')}-", mixed, lambda: rng.randint(24, 60)),
+        "stripe_key": framed(lambda: rng.choice(("sk_live_", "rk_live_")), mixed, lambda: rng.randint(24, 34)),
+        "google_api_key": framed(lambda: "AIza", web, lambda: 35),
+        "npm_token": framed(lambda: "npm_", mixed, lambda: 36),
+        "json_web_token": (
+            lambda: f"\x01eyJ{pick(web, rng.randint(15, 40))}.eyJ{pick(web, rng.randint(20, 200))}.{pick(web, 43)}\x02",
+            lambda: rng.choice(("\x01eyJhbGciOiJIUzI1NiJ9.payload-here.signature-here\x02", f"\x01eyJ{dull(20)}.{dull(20)}.{dull(20)}\x02", f"\x01eyJheader-{word()}.payload-{word()}.signature\x02")),
+        ),
+        "private_key": (lambda: f"\x01-----BEGIN {key()}PRIVATE KEY-----\x02{body()}", lambda: f"\x01-----BEGIN {key()}PRIVATE KEY-----\x02\n{rng.choice(('example key', 'placeholder', 'dummy', 'test only', 'your key here, a sample'))}"),
+        "url_password": (lambda: f"{rng.choice(('postgres', 'https', 'amqp', 'mysql'))}://{pick(_LOWER, 5)}:\x01{random_value()[:24].replace('/', 'x')}\x02@{pick(_LOWER, 6)}.internal", lambda: f"https://user:\x01{rng.choice(('password', 'changeme', 'your-pass', 'xxxxxxxx', '<password>'))}\x02@host"),
+        "assignment": (assigned(random_value), lambda: likeness() if rng.random() < 0.85 else checksum()),
+    }
+
+
+def prose_contexts(n: int = 1000, seed: int = 5) -> list[tuple[str, str]]:
+    """Made-up ``path, passage`` for fitting without a corpus."""
+    rng = random.Random(seed)
+    return [(rng.choice(("src", "web", "docs", "config", "")), " ".join("".join(rng.choice(_LOWER) for _ in range(rng.randint(2, 9))) for _ in range(16))) for _ in range(n)]
+
+
+def corpus_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", max_contexts: int = 1000) -> list[tuple[str, str]]:
+    """``path, passage`` cut from the ``max_contexts`` documents of the smallest
+    hashes that are not held out, each at a place that its hash chooses."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    mark = F.xxhash64(F.col(id_col).cast("string"), text)
+    place = (F.pmod(mark, F.greatest(F.length(text) - 2 * BESIDE, F.lit(1))) + 1).cast("int")
+    rows = docs.where(~held_out(F.col(id_col))).select(mark.alias("mark"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.substr(text, place, F.lit(2 * BESIDE)).alias("passage"))
+    return [(r["path"], r["passage"]) for r in rows.orderBy("mark", "path", "passage").limit(max_contexts).collect()]
+
+
+def planted_findings(contexts: Sequence[tuple[str, str]], seed: int = 5) -> list[tuple[str, str, str, str, int]]:
+    """Labelled findings (candidate, path, before, after, label): two for each
+    context and kind group, a value and a look-alike, the kinds taking turns.
+
+    Half of the look-alikes stand in an example's path or beside an example's words.
     """
-    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    upper, digits, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "abcdefghijklmnopqrstuvwxyz"
-    base64 = upper + lower + digits
-    prose = lambda: " ".join(pick(lower, rng.randint(2, 9)) for _ in range(5))
+    rng = random.Random(seed)
+    makers = _values(rng)
+    turns = ["assignment", "private_key", *_KINDS]  # the kinds without a fixed frame need most examples
     out = []
-    for i in range(n):
-        kind, real = i // 2 % 3, i % 2
-        path, before, after = rng.choice(("src", "web", "docs", "config", "")), prose() + rng.choice((" ", "\n", ' = "')), " " + prose()
-        if kind == 0:
-            value = f"-----BEGIN {rng.choice(('', '', 'RSA ', 'EC ', 'DSA ', 'OPENSSH ', 'ENCRYPTED '))}PRIVATE KEY-----"
-            after = "\n" + (pick(base64 + "+/", 47) if real else rng.choice(("example key", "placeholder", "dummy", "test only")) + after)
-        elif kind == 1:
-            value = f"eyJ{pick(base64 + '-_', rng.randint(15, 40))}.eyJ{pick(base64 + '-_', rng.randint(20, 200))}.{pick(base64 + '-_', 43)}" if real else rng.choice(("eyJhbGciOiJIUzI1NiJ9.payload-here.signature-here", "eyJ" + "x" * 20 + "." + "x" * 20 + "." + "x" * 20, "eyJheader-part.payload-part.signature"))
-        else:
-            value = rng.choice(("gho_", "ghu_", "ghs_", "ghr_")) + (pick(base64, 36) if real else pick("xX0A", 1) * 36) if i % 4 < 2 else "ASIA" + (pick(upper + digits, 16) if real else pick("XA0", 1) * 16)
-        out.append((value, path if real else rng.choice((path, "tests", "examples")), before, after, real))
+    for i, (path, passage) in enumerate(contexts):
+        kind = turns[i % len(turns)]
+        cut = len(passage) // 2
+        for label, make in zip((1, 0), makers[kind], strict=True):
+            made, where, lead = make(), path, ""
+            if not label and rng.random() < 0.5:
+                where, lead = rng.choice(((rng.choice(("tests", "examples", "sample")), ""), (path, rng.choice(("for example ", "a sample: ", "dummy ", "fake ")))))
+            start, end = made.index("\x01"), made.index("\x02")
+            before = f"{passage[:cut]} {lead}{made[:start]}"[-BESIDE:]
+            after = f"{made[end + 1:]} {passage[cut:]}"[:BESIDE]
+            out.append((made[start + 1 : end], where, before, after, label))
     return out
 
 
-def fit(labelled: DataFrame | None = None, max_findings: int = 20_000, seed: int = 11) -> Forest:
-    """A forest from labelled findings, or from :func:`example_findings`."""
+def fit(labelled: DataFrame | Sequence[tuple] | None = None, max_findings: int = 20_000, seed: int = 11) -> Forest:
+    """A forest from labelled findings, or from values planted in made-up prose."""
     if labelled is None:
-        rows = example_findings()
-    else:
+        rows = planted_findings(prose_contexts())
+    elif isinstance(labelled, DataFrame):
         columns = ("candidate", "path", "before", "after")
         clean = labelled.where("label is not null").select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns], F.col("label").cast("int").alias("label"))
         rows = sorted(tuple(r) for r in clean.orderBy(F.xxhash64(*columns), *columns, "label").limit(max_findings).collect())
+    else:
+        rows = list(labelled)[:max_findings]
     return Forest(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows]), seed=seed)
 
 
 def candidates(text: str) -> list[tuple[str, str, int, int]]:
-    """Kind, value, start and end of each candidate."""
-    out = []
-    for m in _SCAN.finditer(text):
-        k = next(i for i in range(len(_KINDS)) if m[f"v{i}"] is not None)
-        out.append((_KINDS[k], m[f"v{k}"], m.start(f"v{k}"), m.end(f"v{k}")))
-    return out
+    """Kind, value, start and end of each candidate, by place.
+
+    Where two overlap, that of the earlier pattern stays.
+    """
+    out: list[tuple[str, str, int, int]] = []
+    for kind, (pattern, words) in _SCAN.items():
+        if any(w in text for w in words):
+            for m in pattern.finditer(text):
+                a, b = m.span("v")
+                if all(b <= x or a >= y for _, _, x, y in out):
+                    out.append((kind, m["v"], a, b))
+    return sorted(out, key=lambda c: c[2])
 
 
 _FINDING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])

@@ -5,8 +5,9 @@ being good.  Its sums by host and by path are grouped aggregates over all
 documents.  A host's posterior is its mean shrunk towards the global mean, a
 path's is its mean shrunk towards its host's; the strengths are moment
 estimates from the spread between sites, so that sparse sites lean on what is
-above them.  The score adds the path's log odds, relative to the global ones
-and without the document's own part, to the document's.
+above them.  The score adds the path's log odds, relative to the global ones,
+to the document's.  The document's own part is taken out of the sums of its
+host and of its path before, so that no evidence counts twice.
 
 Scale: texts are read once and only ids, sites and probabilities are shuffled.
 Sums are partial before the shuffle.  Joining them back, the paths with a
@@ -133,7 +134,7 @@ def logit(p: Column) -> Column:
 
 
 def combine(scored: DataFrame, weight: float = 0.5, hot_share: int = 1000) -> DataFrame:
-    """Add ``host_posterior, path_posterior, score``."""
+    """Add ``host_posterior, path_posterior, score``, the posteriors without the row itself."""
     p = F.col("doc_score").cast("decimal(20,9)")  # exact sums, in any order
     sums = [F.count("*").alias("n"), F.sum(p).cast("double").alias("s"), F.sum((p * (1 - p)).cast("decimal(20,9)")).cast("double").alias("q")]
     paths = materialize(scored.groupBy("host", "path").agg(*sums), "paths")
@@ -142,11 +143,11 @@ def combine(scored: DataFrame, weight: float = 0.5, hot_share: int = 1000) -> Da
     n_all = total["n"] or 0
     mean = (total["s"] + 0.5) / (n_all + 1) if n_all else 0.5
     by_host, by_path = strength(hosts, mean), strength(paths, mean)
-    hosts = hosts.select("host", ((F.col("s") + by_host * mean) / (F.col("n") + by_host)).alias("host_posterior"))
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     stats = paths.select("host", "path", "n", "s").join(hosts, "host")
     hot = F.col("n") * hot_share >= n_all
-    few = stats.where(hot).select("host", "path", F.struct("n", "s", "host_posterior").alias("few"))
-    rest = stats.where(~hot).select("host", "path", F.struct("n", "s", "host_posterior").alias("rest"))
+    few = stats.where(hot).select("host", "path", F.struct("n", "s", "host_n", "host_s").alias("few"))
+    rest = stats.where(~hot).select("host", "path", F.struct("n", "s", "host_n", "host_s").alias("rest"))
     out = scored.join(F.broadcast(few), ["host", "path"], "left")
     # Rows that have their sums already go to partitions by their own id.
     key = F.when(F.col("few").isNull(), F.xxhash64("host", "path")).otherwise(F.xxhash64("id", "doc_score"))
@@ -154,8 +155,9 @@ def combine(scored: DataFrame, weight: float = 0.5, hot_share: int = 1000) -> Da
     out = out.withColumn("key", key)
     out = out.join(rest, (F.col("key") == F.col("k2")) & F.col("few").isNull(), "left").where(F.col("few").isNotNull() | ((F.col("h2") == F.col("host")) & (F.col("p2") == F.col("path"))))
     site = F.coalesce("few", "rest")
-    own = (site["s"] - F.col("doc_score") + by_path * site["host_posterior"]) / (site["n"] - 1 + by_path)
-    out = out.select("id", "doc_score", site["host_posterior"].alias("host_posterior"), own.alias("path_posterior"))
+    above = (site["host_s"] - F.col("doc_score") + by_host * mean) / (site["host_n"] - 1 + by_host)
+    own = (site["s"] - F.col("doc_score") + by_path * above) / (site["n"] - 1 + by_path)
+    out = out.select("id", "doc_score", above.alias("host_posterior"), own.alias("path_posterior"))
     odds = logit(F.col("doc_score")) + weight * (logit(F.col("path_posterior")) - logit(F.lit(mean)))
     return out.withColumn("score", 1 / (1 + F.exp(-odds)))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize
+from .shared import held_out, materialize
 from .wu_manber import words_of
 
 BLOCK = 64
@@ -154,11 +154,6 @@ class Model:
         return min(1.0, max(0.0, p)), near, cosines
 
 
-def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
-    """Rows that labels are never learnt from; a null id is never held out."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
-
-
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
