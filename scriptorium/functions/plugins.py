@@ -7,16 +7,21 @@ without models.  Quality figures from the defaults say nothing about models.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
+from urllib import request
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The public defaults of the model server.
+OLLAMA_HOST, OLLAMA_MODEL = "http://localhost:11434", "llama3.1:8b"
+
 #: Names the provider to use where none is given.
 PROVIDER_VARIABLE = "SCRIPTORIUM_TEXT_PROVIDER"
 
@@ -32,6 +37,7 @@ class Embedder(Protocol):
 
 
 class Generator(Protocol):
+    # Fixed interface: names and defaults of the arguments.
     def generate(self, system: str, user: str, *, max_tokens: int = 1024, temperature: float = 0.7, response_format: str | None = None, num_ctx: int | None = None) -> str: ...
 
 
@@ -62,14 +68,29 @@ class ExtractiveGenerator:
         return " ".join((passage[1] if passage else "").split()[:max_tokens])
 
 
-def _needs_model(name: str) -> Callable[[], Generator]:
-    def build() -> Generator:
-        raise NotImplementedError(f"provider {name!r} needs its client; register one with register_provider()")
+class OllamaGenerator:
+    """A local model server, asked over its chat interface.
+
+    Such a server answers one request at a time: ``coalesce`` the prompts first.
+    """
+
+    def __init__(self, model: str = OLLAMA_MODEL, host: str | None = None, timeout: float = 600.0):
+        self.model, self.timeout = model, timeout
+        self.host = (host or os.environ.get("OLLAMA_HOST") or OLLAMA_HOST).rstrip("/")
+        if "://" not in self.host:
+            self.host = f"http://{self.host}"
 
-    return build
+    def generate(self, system: str, user: str, *, max_tokens: int = 1024, temperature: float = 0.7, response_format: str | None = None, num_ctx: int | None = None) -> str:
+        options = {"num_predict": max_tokens, "temperature": temperature} | ({} if num_ctx is None else {"num_ctx": num_ctx})
+        body = {"model": self.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "stream": False, "options": options}
+        if response_format == "json":
+            body["format"] = "json"
+        asked = request.Request(f"{self.host}/api/chat", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with request.urlopen(asked, timeout=self.timeout) as answer:
+            return json.loads(answer.read())["message"]["content"]
 
 
-_providers: dict[str, Callable[[], Generator]] = {"extractive": ExtractiveGenerator, "ollama": _needs_model("ollama"), "anthropic": _needs_model("anthropic"), "openai": _needs_model("openai")}
+_providers: dict[str, Callable[[], Generator]] = {"extractive": ExtractiveGenerator, "ollama": OllamaGenerator}
 
 
 def register_provider(name: str, build: Callable[[], Generator]) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .text import words
@@ -30,5 +31,5 @@ def hashed_bag(docs: DataFrame, id_col: str, text_col: str, dims: int = 64) -> D
     """
     bucket = F.pmod(F.conv(F.substring(F.md5("token"), 1, 6), 16, 10).cast("long"), F.lit(dims))
     counted = docs.select(id_col, F.explode(words(F.lower(text_col))).alias("token")).groupBy(id_col, bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    lengths = counted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("length"))
-    return counted.join(lengths, id_col).select(id_col, "bucket", (F.col("n") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(id_col)).cast("double"))
+    return counted.select(id_col, "bucket", (F.col("n") / length).alias("weight"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,12 +27,13 @@ def window_starts(n_tokens: Column, size: int, overlap: int) -> Column:
     return F.when(n_tokens > 0, F.transform(F.sequence(F.lit(0), more), lambda k: k * stride)).otherwise(F.array().cast("array<int>"))
 
 
-def chunk_words(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 64) -> DataFrame:
-    """``id, chunk_idx, text, token_count`` with words as tokens; no shuffle."""
-    tokens = docs.select(id_col, words(F.col(text_col)).alias("w"))
-    starts = tokens.select(id_col, "w", F.posexplode(window_starts(F.size("w"), size, overlap)).alias("chunk_idx", "at"))
+def chunk_words(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 64, keep: Sequence[str] = ()) -> DataFrame:
+    """``id, chunk_idx, text, token_count`` with words as tokens, and the
+    columns named in ``keep``; no shuffle."""
+    tokens = docs.select(id_col, *keep, words(F.col(text_col)).alias("w"))
+    starts = tokens.select(id_col, *keep, "w", F.posexplode(window_starts(F.size("w"), size, overlap)).alias("chunk_idx", "at"))
     piece = F.slice("w", F.col("at") + 1, size)
-    return starts.select(id_col, "chunk_idx", F.array_join(piece, " ").alias("text"), F.size(piece).alias("token_count"))
+    return starts.select(id_col, *keep, "chunk_idx", F.array_join(piece, " ").alias("text"), F.size(piece).alias("token_count"))
 
 
 def chunk_offsets(docs: DataFrame, id_col: str, text_col: str, offsets: Column, size: int = 512, overlap: int = 64) -> DataFrame:

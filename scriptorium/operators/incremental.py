@@ -49,9 +49,43 @@ def first_positions(ids: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """The first row of each key, whole; by aggregation, not by a window."""
-    picked = rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
-    return picked.select("_row.*")
+    """The first row of each key, whole; by aggregation, not by a window.
+
+    Only a 128-bit digest of the key and the order are shuffled; the chosen
+    rows are found again by both.  Of rows that tie in the order one stays.
+    """
+    digest = F.unhex(F.md5(key.cast("string").cast("binary")))
+    marked = rows.withColumns({"_key": F.coalesce(digest, F.lit(b"")), "_at": F.struct(*order)})
+    picked = marked.groupBy("_key").agg(F.min("_at").alias("_at"))
+    return marked.join(picked, ["_key", "_at"], "left_semi").dropDuplicates(["_key", "_at"]).drop("_key", "_at")
+
+
+def first_in_order(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows in the order of the input, after all joins; each task
+    keeps its own n before they meet."""
+    if n < 0:
+        raise ValueError("n must not be negative")
+    return rows.orderBy(*order).limit(n)
+
+
+def until_successes(attempts: DataFrame, ok: Column, order: list[Column], n: int) -> DataFrame:
+    """The attempts made until n have succeeded, the n-th included; all of
+    them if there are fewer successes, none if n is 0 or less."""
+    if n <= 0:
+        return attempts.limit(0)
+    at = F.struct(*order)
+    successes = attempts.where(ok).select(at.alias("at")).orderBy("at").limit(n)
+    last = successes.agg(F.max("at").alias("last"), F.count("*").alias("found"))
+    return attempts.join(F.broadcast(last), (F.col("found") < n) | (at <= F.col("last"))).drop("last", "found")  # one row
+
+
+def pick_papers(papers: DataFrame, key: str, fixed: list[str], group: Column, n: int) -> DataFrame:
+    """``key, place``: the fixed ids that exist, in their order, then the first n by id of the group."""
+    place = F.array_position(F.array(*[F.lit(k) for k in fixed]), F.col(key)) if fixed else F.lit(0)
+    named = papers.where(place > 0).select(key, place.cast("long").alias("place")).distinct()
+    rest = papers.where(group).select(key).distinct().orderBy(key).limit(n)
+    numbered = rest.select(key, (F.row_number().over(W.orderBy(key)) + len(fixed)).cast("long").alias("place"))  # n rows
+    return named.unionByName(numbered)
 
 
 def status_counts(rows: DataFrame, status: str) -> DataFrame:

@@ -53,12 +53,17 @@ def global_top_k(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id:
     out = None
     for at in range(0, max(1, len(asked)), query_block):
         part = asked.slice(at, query_block)
-        sent = spark.sparkContext.broadcast((part[query_id].to_pylist(), np.array(part[query_vec].to_pylist(), np.float64)))
+        sent = spark.sparkContext.broadcast((part[query_id].to_pylist(), _matrix(part[query_vec].combine_chunks())))
         hits = chunks.mapInArrow(_scan(sent, asked.schema.field(query_id).type, query_id, chunk_id, chunk_vec, k), schema)
         out = hits if out is None else out.unionByName(hits)
     return top_k(out, query_id, k, tie=chunk_id)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
 def _scan(sent, id_type: pa.DataType, query_id: str, chunk_id: str, chunk_vec: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = sent.value
@@ -68,13 +73,20 @@ def _scan(sent, id_type: pa.DataType, query_id: str, chunk_id: str, chunk_vec: s
             if not len(batch) or not len(ids):
                 continue
             kind = batch[chunk_id].type
-            block = np.array(batch[chunk_vec].to_pylist(), np.float64)
             names = np.array(batch[chunk_id].to_pylist())
-            scores = sequential_products(matrix, block)
-            all_ids = np.broadcast_to(names, scores.shape) if best is None else np.concatenate((best_id, np.broadcast_to(names, scores.shape)), 1)
-            scores = scores if best is None else np.concatenate((best, scores), 1)
-            order = np.stack([np.lexsort((i, -s))[:k] for i, s in zip(all_ids, scores, strict=True)])
-            best_id, best = np.take_along_axis(all_ids, order, 1), np.take_along_axis(scores, order, 1)
+            rows, at, scores = best_products(matrix, _matrix(batch[chunk_vec]), k)
+            if best is not None:
+                rows = np.concatenate((np.repeat(np.arange(len(ids)), best.shape[1]), rows))
+                found, scores = np.concatenate((best_id.ravel(), names[at])), np.concatenate((best.ravel(), scores))
+            else:
+                found = names[at]
+            order = np.lexsort((found, -scores, rows))
+            rows, found, scores = rows[order], found[order], scores[order]
+            count = np.bincount(rows, minlength=len(ids))
+            least = min(k, int(count.min()))  # the same for all queries: each has seen the same chunks
+            start = np.cumsum(count) - count
+            pick = start[:, None] + np.arange(least)
+            best_id, best = found[pick], scores[pick]
         if best is not None:
             rows = np.repeat(np.arange(len(ids)), best.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows], id_type), pa.array(best_id.ravel()).cast(kind), pa.array(best.ravel())], [query_id, chunk_id, "score"])
@@ -82,12 +94,23 @@ def _scan(sent, id_type: pa.DataType, query_id: str, chunk_id: str, chunk_vec: s
     return run
 
 
-def sequential_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Inner products summed in the order of the components, as SQL sums them."""
-    out = np.zeros((len(left), len(right)))
+def best_products(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and inner product of at least the k best columns of each row.
+
+    One matrix product finds them with a margin for rounding; their products
+    are then summed anew in the order of the components, as SQL sums them.
+    """
+    rough = left @ right.T
+    n = rough.shape[1]
+    if n > k:
+        margin = 1e-9 * (1 + np.abs(rough).max())
+        rows, at = np.nonzero(rough >= np.partition(rough, n - k, axis=1)[:, n - k, None] - margin)
+    else:
+        rows, at = np.divmod(np.arange(rough.size), n)
+    out = np.zeros(len(rows))
     for d in range(left.shape[1]):
-        out += np.outer(left[:, d], right[:, d])
-    return out
+        out += left[rows, d] * right[at, d]
+    return rows, at, out
 
 
 def covered_evidence(evidence: DataFrame, texts: DataFrame, needle: Column, haystack: Column, evidence_id: str, block: int = 200) -> DataFrame:
@@ -101,9 +124,11 @@ def covered_evidence(evidence: DataFrame, texts: DataFrame, needle: Column, hays
     parts = F.split("needle", " ")
     longest = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     keys = evidence.select(F.col(evidence_id).alias("eid"), needle.alias("needle")).where("needle <> ''").withColumn("word", F.when(F.size(parts) > 2, longest))
-    bodies = texts.select(haystack.alias("body"))
-    words = bodies.select("body", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).join(keys.where("word is not null").select("word").distinct(), "word", "left_semi")
-    found = words.join(keys, "word").where(F.contains("body", F.col("needle"))).select("eid")
+    bodies = texts.select(haystack.alias("body")).withColumn("text_key", F.unhex(F.md5(F.col("body").cast("binary"))))
+    # Only digests and words are shuffled at first; a text follows once for each word that was asked for.
+    words = bodies.select("text_key", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    asked = words.join(keys.where("word is not null"), "word").distinct()
+    found = bodies.dropDuplicates(["text_key"]).join(asked, "text_key").where(F.contains("body", F.col("needle"))).select("eid")
     short = [(r["eid"], r["needle"]) for r in keys.where("word is null").toLocalIterator()]
     for at in range(0, len(short), block):
         asked = F.array(*[F.struct(F.lit(i).alias("eid"), F.lit(n).alias("needle")) for i, n in short[at : at + block]])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -86,6 +87,23 @@ def generate(prompts: DataFrame, build: Callable, system: str, prompt_col: str =
     return prompts.withColumn(out_col, run.asNondeterministic()(prompt_col))
 
 
+def generate_timed(prompts: DataFrame, build: Callable, system: str, prompt_col: str = "prompt", out_col: str = "said", **options) -> DataFrame:
+    """The same with a struct of the ``text`` and the milliseconds (``ms``) that it took."""
+
+    @F.pandas_udf("struct<text:string,ms:int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        generator = build()
+        for texts in batches:
+            rows = []
+            for t in texts:
+                began = time.perf_counter()
+                said = None if t is None else generator.generate(system, t, **options)
+                rows.append((said, round(1000 * (time.perf_counter() - began))))
+            yield pd.DataFrame(rows, columns=["text", "ms"])
+
+    return prompts.withColumn(out_col, run.asNondeterministic()(prompt_col))
+
+
 def summarize(papers: DataFrame, build: Callable, system: str, model_name: str = "unknown", timestamp: Column | None = None) -> DataFrame:
     """``arxiv_id, markdown, status, raw_output`` for parsed papers.
 

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
 from .functions import evaluation as ev
 from .functions import text as tx
 from .functions import vectors as vec
-from .functions.plugins import ExtractiveGenerator
+from .functions.plugins import ExtractiveGenerator, HashedEmbedder, embed, offsets
 from .operators import chunking, citations, incremental, parsing, retrieval, summaries
 from .plans import evaluation as plan
+from .sources.http import metadata_url
+from .sources.readers import questions_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,8 +295,8 @@ def corpus_union(spark, d):
 
 @query
 def ids_not_on_disk(spark, d):
-    """Parts that no line refers to."""
-    on_disk = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts of which no line has the full quantity."""
+    on_disk = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
     return incremental.pending(table(spark, d, "part").select("p_partkey"), on_disk, "p_partkey")
 
 
@@ -360,17 +363,99 @@ def retrieval_eval(spark, d):
     """The whole evaluation: chunks by source, hashed vectors, extractive
     answers; the benchmark passages are the questions, asked of the chunks of all
     sources.  They belong to no paper."""
+    vector = embed(HashedEmbedder)
     docs = table(spark, d, "documents")
-    chunks = chunking.index_rows(chunking.chunk_words(docs, "doc_id", "text", 128, 32), "doc_id")
-    sources = docs.select("doc_id", "source").dropDuplicates(["doc_id"])
-
-    def vectors(rows: DataFrame, key: str) -> DataFrame:
-        bag = vec.hashed_bag(rows, key, "text")
-        by_bucket = bag.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-        return by_bucket.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.coalesce(F.try_element_at("m", b.cast("long")), F.lit(0.0))).alias("vector"))
-
-    index = chunks.join(vectors(chunks, "chunk_id"), "chunk_id").join(sources, "doc_id").select("chunk_id", F.col("source").alias("arxiv_id"), F.col("chunk_id").alias("chunk_idx"), "text", F.col("vector").alias("embedding"))
-    items = table(spark, d, "benchmark").withColumn("paper_id", F.lit(None).cast("string"))
-    questions = items.join(vectors(items, "item_id"), "item_id").select(F.col("item_id").cast("string").alias("question_id"), "paper_id", F.col("text").alias("question"), F.array("text").alias("gold_answers"), F.split("text", "\\. ").alias("gold_evidence"), F.col("vector").alias("q"))
+    chunks = chunking.index_rows(chunking.chunk_words(docs.select("doc_id", "source", "text"), "doc_id", "text", 128, 32, keep=("source",)), "doc_id")
+    index = chunks.select("chunk_id", F.col("source").alias("arxiv_id"), F.col("chunk_id").alias("chunk_idx"), "text", vector(F.col("text")).alias("embedding"))
+    items = table(spark, d, "benchmark")
+    questions = items.select(F.col("item_id").cast("string").alias("question_id"), F.lit(None).cast("string").alias("paper_id"), F.col("text").alias("question"), F.array("text").alias("gold_answers"), F.split("text", "\\. ").alias("gold_evidence"), vector(F.col("text")).alias("q"))
     out = plan.evaluate(questions, index, ExtractiveGenerator, scoped=False)
     return out.select("question_id", "paper_id", F.size("retrieved_chunk_ids").cast("long").alias("n_hits"), F.round("recall_at_k", 6).alias("recall_at_k"), F.round("answer_f1", 6).alias("answer_f1"))
+
+
+def _tei(spark, d) -> DataFrame:
+    """Documents as TEI: lines are sections, every third without a heading."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(escaped, "\n")
+    head = lambda i: F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('<head n="'), i.cast("string"), F.lit('">S'), i.cast("string"), F.lit("</head>")))
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("<div>"), head(i), F.lit("<p>"), x, F.lit("</p></div>"))), "")
+    tei = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>Paper '), F.col("doc_id").cast("string"), F.lit("</title></titleStmt></fileDesc><profileDesc><abstract><p>"), lines[0], F.lit("</p></abstract></profileDesc></teiHeader><text><body>"), body, F.lit("</body></text></TEI>"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), tei.alias("tei"))
+
+
+@query
+def tei_sections(spark, d):
+    """Sections of at least ten characters, parsed from TEI."""
+    rows = parsing.section_rows(parsing.parsed_papers(_tei(spark, d)))
+    return rows.select("arxiv_id", F.col("sec_idx").cast("long").alias("sec_idx"), "head", "n", "text")
+
+
+@query
+def tei_papers(spark, d):
+    """Title, abstract and manifest entry of each TEI document."""
+    parsed = parsing.parsed_papers(_tei(spark, d))
+    entry = parsing.manifest_entry(parsed.select("arxiv_id", "xml_size", "title", "abstract", "sections", "error"))
+    return entry.select("arxiv_id", F.col("grobid").alias("status"), "title", F.col("num_sections").cast("long").alias("num_sections"), F.col("xml_size").cast("long").alias("xml_size"), "error")
+
+
+@query
+def full_texts(spark, d):
+    """Title, abstract and sections of the parsed TEI as one text."""
+    parsed = parsing.parsed_papers(_tei(spark, d))
+    return parsed.select("arxiv_id", chunking.full_text(F.col("title"), F.col("abstract"), F.col("sections")).alias("body"))
+
+
+@query
+def offset_windows(spark, d):
+    """Windows of the original text by token offsets."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = chunking.chunk_offsets(docs, "doc_id", "text", offsets()(F.col("text")), 128, 32)
+    return out.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "text", F.col("token_count").cast("long").alias("token_count"))
+
+
+@query
+def question_rows(spark, d):
+    """Question sets keyed by paper, made of conversations, one row a question."""
+    conv = table(spark, d, "conversations").where("role = 'user'")
+    none = F.lit(None).cast(f"{schemas.ANSWERS}")
+    qa = F.struct(F.col("text").alias("question"), F.concat_ws("-", "conv_id", "turn").alias("question_id"), none.alias("answers"))
+    papers = conv.groupBy("conv_id").agg(F.collect_list(qa).alias("qas")).select(F.create_map(F.col("conv_id").cast("string"), F.struct("qas")).alias("value"))
+    return questions_of(papers).select("paper_id", "question_id", "question", F.size("answers").cast("long").alias("n_answers"))
+
+
+@query
+def reference_edges(spark, d):
+    """References of records, those without an arXiv id left out: orders and their lines."""
+    items = table(spark, d, "lineitem")
+    known = F.when(F.col("l_linenumber") % 3 > 0, F.create_map(F.lit("ArXiv"), F.concat(F.lit("p"), F.col("l_partkey")))).when(F.col("l_linenumber") % 2 == 0, F.create_map(F.lit("DOI"), F.lit("x")))
+    ref = F.struct(F.col("l_partkey").cast("string").alias("paperId"), F.lit(None).cast("string").alias("title"), known.alias("externalIds"))
+    records = items.groupBy("l_orderkey").agg(F.collect_list(ref).alias("refs")).select(F.concat(F.lit("c"), "l_orderkey").alias("arxiv_id"), F.struct(F.when(F.col("l_orderkey") % 7 > 0, F.col("refs")).alias("references")).alias("record"))
+    return citations.reference_rows(records)
+
+
+@query
+def first_after_joins(spark, d):
+    """The first 250 lines, in order, of orders of building customers: a report."""
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return incremental.first_in_order(rows.select("l_orderkey", "l_linenumber", "c_custkey"), [F.col("l_orderkey"), F.col("l_linenumber")], 250)
+
+
+@query
+def until_successes(spark, d):
+    """Attempts until 500 orders have been found fulfilled, in order of key."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return incremental.until_successes(orders, F.col("o_orderstatus") == "F", [F.col("o_orderkey")], 500)
+
+
+@query
+def paper_picker(spark, d):
+    """Five fixed parts, where they exist, then the first five small ones."""
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_size")
+    return incremental.pick_papers(part, "id", ["7", "3", "-1", "11", "5"], F.col("p_size") <= 5, 5)
+
+
+@query
+def metadata_requests(spark, d):
+    """Where the metadata of each part, taken as a paper, would be asked for."""
+    return table(spark, d, "part").select("p_partkey", metadata_url(F.concat(F.lit("1706."), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))).alias("url"))

@@ -7,13 +7,15 @@ task, so the number of partitions bounds the load: ``coalesce`` to divide it.
 
 from __future__ import annotations
 
+import os
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib import error, request
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.incremental import NOT_FOUND
@@ -32,9 +34,32 @@ class Policy:
     magic: bytes = b""
 
 
-#: Metadata look-ups, and downloads of PDFs.
+#: Metadata look-ups, downloads of PDFs, and downloads that are tried once.
 METADATA = Policy()
 PDF = Policy(spacing=3.0, attempts=3, wait=5.0, most=600.0, magic=b"%PDF")
+PDF_ONCE = Policy(spacing=3.0, attempts=1, magic=b"%PDF")
+
+# The public metadata and conversion services.
+METADATA_URL = "https://api.semanticscholar.org/graph/v1/paper/ARXIV:"
+METADATA_FIELDS = ("paperId", "title", "externalIds", "references.paperId", "references.title", "references.externalIds")
+METADATA_KEY_VARIABLE, METADATA_KEY_HEADER = "SEMANTIC_SCHOLAR_API_KEY", "x-api-key"
+PDF_URL = "https://arxiv.org/pdf/"
+CONVERTER_URL, CONVERTER_PATH, CONVERTER_FIELD = "http://localhost:8070", "/api/processFulltextDocument", "input"
+
+
+def metadata_url(arxiv_id: Column, fields: Sequence[str] = METADATA_FIELDS) -> Column:
+    """Where the metadata record of a paper is, with the fields to return."""
+    return F.concat(F.lit(METADATA_URL), F.url_encode(arxiv_id), F.lit(f"?fields={','.join(fields)}"))
+
+
+def pdf_url(arxiv_id: Column) -> Column:
+    return F.concat(F.lit(PDF_URL), arxiv_id)
+
+
+def metadata_fetcher(api_key: str | None = None) -> Fetcher:
+    """Sends the key that is given, else that of the environment, else none."""
+    key = api_key if api_key is not None else os.environ.get(METADATA_KEY_VARIABLE)
+    return url_fetcher(30.0, {METADATA_KEY_HEADER: key} if key else None)
 
 
 def url_fetcher(timeout: float = 30.0, headers: dict[str, str] | None = None) -> Fetcher:
@@ -94,6 +119,54 @@ def fetched(requests: DataFrame, build: Callable[[], Fetcher], policy: Policy =
     return requests.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).mapInPandas(run, f"id {kind}, status string, body binary, error string")
 
 
+Poster = Callable[[str, bytes], tuple[int, bytes]]
+
+
+def multipart(field: str, name: str, content: bytes, kind: str) -> tuple[bytes, str]:
+    """A form with one file, and its content type."""
+    mark = uuid.uuid4().hex
+    while mark.encode() in content:
+        mark = uuid.uuid4().hex
+    file = name.replace("\\", "_").replace('"', "_").replace("\r", "_").replace("\n", "_")
+    head = f'--{mark}\r\nContent-Disposition: form-data; name="{field}"; filename="{file}"\r\nContent-Type: {kind}\r\n\r\n'
+    return head.encode() + content + f"\r\n--{mark}--\r\n".encode(), f"multipart/form-data; boundary={mark}"
+
+
+def converter(url: str = CONVERTER_URL, timeout: float = 120.0) -> Poster:
+    """Posts a PDF as a form and returns ``(status, TEI)``."""
+
+    def post(name: str, content: bytes) -> tuple[int, bytes]:
+        body, kind = multipart(CONVERTER_FIELD, name, content, "application/pdf")
+        try:
+            with request.urlopen(request.Request(f"{url.rstrip('/')}{CONVERTER_PATH}", body, {"Content-Type": kind}), timeout=timeout) as r:
+                return r.status, r.read()
+        except error.HTTPError as e:
+            return e.code, e.read()
+
+    return post
+
+
+def converted(pdfs: DataFrame, build: Callable[[], Poster] = converter, id_col: str = "arxiv_id", content_col: str = "content") -> DataFrame:
+    """``arxiv_id, tei, error`` for PDFs; an answer of 400 or more is an error
+    with its first 200 characters, and so is a failure of the network."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        post = build()
+        for batch in batches:
+            rows = []
+            for key, content in zip(batch["id"], batch["content"], strict=True):
+                try:
+                    code, body = post(f"{key}.pdf", bytes(content or b""))
+                    text = body.decode("utf-8", "replace")
+                    rows.append((key, text, None) if code < 400 else (key, None, f"status {code}: {text[:200]}"))
+                except OSError as e:
+                    rows.append((key, None, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=["arxiv_id", "tei", "error"])
+
+    kind = pdfs.schema[id_col].dataType.simpleString()
+    return pdfs.select(F.col(id_col).alias("id"), F.col(content_col).alias("content")).mapInPandas(run, f"arxiv_id {kind}, tei string, error string")
+
+
 def cache_rows(answers: DataFrame, fetched_at: int) -> DataFrame:
     """Cache entries for answers; papers that do not exist are cached as such."""
     body = F.when(F.col("status") == "missing", NOT_FOUND).otherwise(F.col("body").cast("string"))

@@ -33,6 +33,31 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "arxiv_id", text_col:
     pages.select(id_col, F.col(text_col).alias("value")).write.mode("overwrite").partitionBy(id_col).text(path)
 
 
+def write_tei(papers: DataFrame, path: str, rebuild: bool = False) -> None:
+    """TEI documents as text under ``arxiv_id=<id>/``; papers without one are left out."""
+    papers.where("tei is not null").select("arxiv_id", F.col("tei").alias("value")).write.mode(mode(rebuild)).partitionBy("arxiv_id").text(path)
+
+
+def read_written_tei(spark: SparkSession, path: str) -> DataFrame:
+    """``arxiv_id, tei`` of what :func:`write_tei` wrote."""
+    rows = spark.read.schema("value string, arxiv_id string").option("wholetext", "true").format("text").load(path)
+    return rows.select("arxiv_id", F.regexp_replace("value", "\n$", "").alias("tei"))
+
+
+def write_manifest(entries: DataFrame, path: str, key: str = "arxiv_id") -> None:
+    """A manifest as JSON lines ``{"id": ..., "entry": {...}}``, replaced as a whole.
+
+    One line for each paper and not one object for all, so that no task holds
+    the whole manifest.
+    """
+    rest = [c for c in entries.columns if c != key]
+    entries.select(F.col(key).alias("id"), F.struct(*rest).alias("entry")).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str, entry_schema: str, key: str = "arxiv_id") -> DataFrame:
+    return spark.read.schema(f"id string, entry {entry_schema}").json(path).select(F.col("id").alias(key), "entry.*")
+
+
 def write_summary(one_row: DataFrame, path: str) -> None:
     one_row.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 

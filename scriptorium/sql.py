@@ -66,6 +66,12 @@ def _field(i: int) -> str:
 
 _PAGE = " || ".join(f"chr(10) || '## {h}' || chr(10) || coalesce({_field(i + 1)}, '') || chr(10)" for i, h in enumerate(_KEYS))
 
+#: Lines of documents as the stripped text of a section, and the length of their XML.
+_LINES = f"""s AS (SELECT row_number() OVER () AS r, doc_id::VARCHAR AS arxiv_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT r, arxiv_id, i, regexp_replace(ls[i + 1], '^{_WS}|{_WS}$', '', 'g') AS t,
+      length(ls[i + 1]) + 4 * (length(ls[i + 1]) - length(replace(ls[i + 1], '&', ''))) + 3 * (length(ls[i + 1]) - length(regexp_replace(ls[i + 1], '[<>]', '', 'g'))) AS escaped
+      FROM s, unnest(range(0, len(ls))) AS u(i))"""
+
 ORACLE_SQL: dict[str, str] = {
     "scoped_topk": _topk("q.label = v.label"),
     "global_topk": _topk("true"),
@@ -126,7 +132,7 @@ ORACLE_SQL: dict[str, str] = {
     "ordered_ids": "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey",
     "first_sorted": "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 100",
     "corpus_union": "SELECT s_nationkey AS id FROM supplier UNION SELECT c_nationkey FROM customer",
-    "ids_not_on_disk": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)",
+    "ids_not_on_disk": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)",
     "multiset_intersection": """SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM (SELECT o_orderpriority, o_orderstatus FROM orders WHERE o_custkey % 2 = 0
         INTERSECT ALL SELECT o_orderpriority, o_orderstatus FROM orders WHERE o_custkey % 2 = 1) GROUP BY 1, 2""",
     "rows_per_split": "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source",
@@ -141,4 +147,41 @@ ORACLE_SQL: dict[str, str] = {
     "markdown_pages": f"""SELECT page_id, '---' || chr(10) || 'arxiv_id: ' || page_id || chr(10) || 'title: "' || replace(title, '"', '\\"') || '"' || chr(10) || 'generated_by: extractive' || chr(10)
         || 'generated_at: 2000-01-01T00:00:00+00:00' || chr(10) || 'status: ok' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || {_PAGE} AS markdown FROM ({_FIELDS})""",
     "magic_bytes": "SELECT page_id, starts_with(html, '<!DOCTYPE') AS valid FROM pages",
+    "tei_sections": f"""WITH {_LINES} SELECT arxiv_id, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS sec_idx, CASE WHEN i % 3 = 0 THEN '[untitled]' ELSE 'S' || i END AS head,
+        CASE WHEN i % 3 = 0 THEN '' ELSE i::VARCHAR END AS n, t AS text FROM l WHERE length(t) >= 10""",
+    "tei_papers": f"""WITH {_LINES} SELECT arxiv_id, 'ok' AS status, 'Paper ' || arxiv_id AS title, count(*) FILTER (length(t) >= 10) AS num_sections,
+        (length('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>Paper </title></titleStmt></fileDesc><profileDesc><abstract><p></p></abstract></profileDesc></teiHeader><text><body></body></text></TEI>')
+         + length(arxiv_id) + sum(CASE WHEN i = 0 THEN escaped ELSE 0 END) + sum(escaped + length('<div><p></p></div>') + CASE WHEN i % 3 = 0 THEN 0 ELSE length('<head n="">S</head>') + 2 * length(i::VARCHAR) END))::BIGINT AS xml_size,
+        NULL::VARCHAR AS error FROM l GROUP BY r, arxiv_id""",
+    "full_texts": f"""WITH {_LINES} SELECT arxiv_id, 'Paper ' || arxiv_id || coalesce(chr(10) || chr(10) || nullif(max(t) FILTER (i = 0), ''), '') ||
+        coalesce(chr(10) || chr(10) || string_agg(CASE WHEN i % 3 = 0 THEN t ELSE 'S' || i || chr(10) || t END, chr(10) || chr(10) ORDER BY i) FILTER (length(t) >= 10), '') AS body FROM l GROUP BY r, arxiv_id""",
+    "offset_windows": f"""WITH b AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(text, '^{_WS}', '') AS b FROM documents),
+        w AS (SELECT r, doc_id, regexp_extract_all(b, '{_WS.replace("[", "[^", 1)}') AS w, regexp_extract_all(b, '{_WS}') AS g FROM b),
+        s AS (SELECT r, doc_id, w, g, unnest(range(0, greatest(ceil((len(w) - 128) / 96.0), 0)::BIGINT + 1)) AS k FROM w WHERE len(w) > 0)
+        SELECT doc_id, k AS chunk_idx, array_to_string(list_transform(range(96 * k + 1, least(96 * k + 128, len(w)) + 1),
+            lambda j: w[j] || CASE WHEN j < least(96 * k + 128, len(w)) THEN g[j] ELSE '' END), '') AS text, least(128, len(w) - 96 * k) AS token_count FROM s""",
+    "question_rows": "SELECT conv_id::VARCHAR AS paper_id, conv_id || '-' || turn AS question_id, text AS question, 0::BIGINT AS n_answers FROM conversations WHERE role = 'user'",
+    "reference_edges": "SELECT 'c' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber % 3 > 0 AND l_orderkey % 7 > 0",
+    "first_after_joins": """SELECT l_orderkey, l_linenumber, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey
+        WHERE c_mktsegment = 'BUILDING' ORDER BY l_orderkey, l_linenumber LIMIT 250""",
+    "until_successes": """WITH s AS (SELECT o_orderkey, o_orderstatus, sum((o_orderstatus = 'F')::INT) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM orders)
+        SELECT o_orderkey, o_orderstatus FROM s WHERE coalesce(before, 0) < 500""",
+    "paper_picker": """SELECT p_partkey::VARCHAR AS id, CASE p_partkey WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 11 THEN 4 ELSE 5 END::BIGINT AS place FROM part WHERE p_partkey IN (7, 3, 11, 5)
+        UNION ALL (SELECT id, 5 + row_number() OVER (ORDER BY id) FROM (SELECT p_partkey::VARCHAR AS id FROM part WHERE p_size <= 5 ORDER BY id LIMIT 5))""",
+    "metadata_requests": """SELECT p_partkey, 'https://api.semanticscholar.org/graph/v1/paper/ARXIV:1706.' || lpad(p_partkey::VARCHAR, 5, '0')
+        || '?fields=paperId,title,externalIds,references.paperId,references.title,references.externalIds' AS url FROM part""",
+    "retrieval_eval": f"""WITH w AS (SELECT doc_id, list_filter(string_split({_collapse("text")}, ' '), lambda x: x <> '') AS w FROM documents),
+        c AS (SELECT doc_id || '::' || k AS chunk_id, array_to_string(w[96 * k + 1 : 96 * k + 128], ' ') AS text
+              FROM (SELECT doc_id, w, unnest(range(0, greatest(ceil((len(w) - 128) / 96.0), 0)::BIGINT + 1)) AS k FROM w WHERE len(w) > 0)),
+        t AS (SELECT 'c' || chunk_id AS id, text FROM c UNION ALL SELECT 'q' || item_id, text FROM benchmark),
+        n AS (SELECT id, ('0x' || substr(md5(x), 1, 6))::BIGINT % 64 AS b, count(*) AS n FROM (SELECT id, unnest(string_split({_match("text")}, ' ')) AS x FROM t) WHERE x <> '' GROUP BY 1, 2),
+        v AS (SELECT id, b, (n::FLOAT / sqrt(sum(n * n) OVER (PARTITION BY id))::FLOAT)::FLOAT AS x FROM n),
+        m AS (SELECT id, list_transform(range(0, 64), lambda b: coalesce(element_at(m, b)[1], 0)::DOUBLE) AS v FROM (SELECT id, map(list(b), list(x)) AS m FROM v GROUP BY id)),
+        r AS (SELECT q.id AS q, c.id AS c, row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.v, c.v) DESC, c.id) AS rank FROM m q JOIN m c ON q.id[1] = 'q' AND c.id[1] = 'c'),
+        hits AS (SELECT substr(q, 2) AS question_id, rank, text FROM r JOIN c ON r.c = 'c' || chunk_id WHERE rank <= 5),
+        gold AS (SELECT item_id::VARCHAR AS question_id, {_match("s")} AS k FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s FROM benchmark)),
+        e AS (SELECT question_id, k, EXISTS (SELECT 1 FROM hits WHERE hits.question_id = gold.question_id AND contains({_match("hits.text")}, k)) AS hit FROM gold),
+        pairs AS (SELECT item_id::VARCHAR AS id, {_collapse("coalesce(hits.text, '')")} AS pred, benchmark.text AS gold FROM benchmark LEFT JOIN hits ON question_id = item_id::VARCHAR AND rank = 1), {_F1}
+        SELECT f1.id AS question_id, NULL::VARCHAR AS paper_id, (SELECT count(*) FROM hits WHERE hits.question_id = f1.id) AS n_hits,
+               (SELECT round(count(*) FILTER (k <> '' AND hit) / nullif(count(*) FILTER (k <> ''), 0)::DOUBLE, 6) FROM e WHERE e.question_id = f1.id) AS recall_at_k, round(f1, 6)::DOUBLE AS answer_f1 FROM f1""",
 }
