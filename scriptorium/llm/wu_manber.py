@@ -7,28 +7,31 @@ distance by which the search may jump without passing an occurrence.  Where
 the shift is zero, the last block selects a bucket of patterns, and these are
 compared word by word.  Each document word inside an occurrence is hit.
 
-The search is one pass over the documents without a shuffle.  The compiled
-patterns are broadcast only in shards of at most ``shard_bytes`` of benchmark
-text; a larger benchmark is searched shard after shard, each adding to the
-spans that earlier ones found.
+The search is one pass over the documents without a shuffle.  A compiled shard
+is arrays of numbers, five to six times ``shard_bytes`` of benchmark text; only
+one is broadcast and held at a time: a larger benchmark is searched shard after
+shard, and the spans found so far are written between them.
 
 Defined results: null and empty texts have no words and are clean; null or
 empty items have no pattern; a null item id counts as an empty string;
 repeated items with one id count once; extra columns pass through (the three
 result columns replace columns of the same name); an empty benchmark leaves
-every document clean.
+every document clean; texts of any length are searched whole, in memory of
+about 60 times their bytes for the words of one text.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import materialize
+
 #: Bytes of words ([^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z): every other byte becomes a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -38,53 +41,94 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+#: Odd multipliers of the block and suffix hashes.
+_MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+#: Words of the suffix that selects a bucket.
+SUFFIX = 4
+
+
+def _hash(words: Sequence, mask: int):
+    """The low bits of a weighted sum: of numbers, or of arrays of them."""
+    total = 0
+    for k, w in enumerate(words):
+        total = total + w * _MIX[k]
+    return (total ^ (total >> 15)) & mask
+
+
 class Searcher:
-    """Shift tables and buckets for patterns of words, by pattern length."""
+    """Shift tables and buckets for windows of words, by window length.
 
-    def __init__(self, items: Iterable[tuple[str, bytes | None]], window: int = 10, groups: list | None = None):
-        if groups is not None:
-            self.groups = groups
-            return
-        found: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+    Words are numbered and the items are one array of numbers; a pattern is a
+    place in it.  The shift table and the buckets of a length are arrays, whose
+    size is that of the number of patterns.  Blocks that fall on one entry of a
+    shift table take the smaller shift, which is safe.
+    """
+
+    def __init__(self, items: Iterable[tuple[str, bytes | None]], window: int = 10, compiled: tuple | None = None):
+        if compiled is None:
+            compiled = self._compile(items, window)
+        vocabulary, self.names, self.item_starts, stream, self.groups = compiled
+        self.compiled = compiled
+        self.number = {w: i for i, w in enumerate(vocabulary.split(b" "), 1)} if vocabulary else {}
+        self.stream = stream.tobytes()
+
+    @staticmethod
+    def _compile(items: Iterable[tuple[str, bytes | None]], window: int) -> tuple:
+        number: dict[bytes, int] = {}
+        names: list[str] = []
+        parts: list[np.ndarray] = []
         for name, text in items:
-            words = words_of(text)
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                found.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add(name)
-        self.groups = [self._compiled(m, patterns) for m, patterns in sorted(found.items())]
+            if words := words_of(text):
+                names.append(name)
+                parts.append(np.array([number.setdefault(w, len(number) + 1) for w in words], np.int32))
+        lengths = np.array([len(x) for x in parts], np.int64)
+        starts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+        stream = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        groups = []
+        for m in np.unique(np.minimum(lengths, window)).tolist():
+            mine = np.flatnonzero(lengths == m if m < window else lengths >= window)
+            count = lengths[mine] - m + 1
+            places = np.arange(int(count.sum())) + np.repeat(starts[mine] - (np.cumsum(count) - count), count)
+            groups.append(Searcher._group(stream, places, m))
+        return b" ".join(number), names, starts, stream, groups
 
     @staticmethod
-    def _compiled(m: int, patterns: dict) -> tuple:
-        block = min(2, m)
-        shift: dict = {}
-        buckets: dict = {}
-        for pattern, names in patterns.items():
-            for end in range(block, m + 1):
-                key = pattern[end - block : end]
-                shift[key] = min(shift.get(key, m), m - end)
-            buckets.setdefault(pattern[m - block :], []).append((list(pattern), sorted(names)))
-        return m, block, m - block + 1, shift, buckets
+    def _group(stream: np.ndarray, places: np.ndarray, m: int) -> tuple:
+        block, suffix = min(2, m), min(SUFFIX, m)
+        mask = (1 << max(10, int(2 * len(places)).bit_length())) - 1
+        wide = stream.astype(np.int64)
+        shift = np.full(mask + 1, m - block + 1, np.uint8)
+        for end in range(block, m + 1):  # later ends have smaller shifts, which overwrite
+            shift[_hash([wide[places + end - block + k] for k in range(block)], mask)] = m - end
+        bucket = _hash([wide[places + m - suffix + k] for k in range(suffix)], mask)
+        order = np.argsort(bucket, kind="stable")
+        starts = np.searchsorted(bucket[order], np.arange(mask + 2)).astype(np.int32)
+        return m, block, suffix, mask, shift.tobytes(), starts, places[order].astype(np.int32)
 
     def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged spans (start, end) of all occurrences, and the items that occur."""
+        get = self.number.get
+        ids = [get(w, 0) for w in words]
+        text = np.array(ids, np.int32).tobytes()
         spans: list[tuple[int, int]] = []
-        names: set[str] = set()
-        n = len(words)
-        for m, block, default, shift, buckets in self.groups:
-            get, end = shift.get, m
+        found: set[int] = set()
+        n, stream = len(ids), self.stream
+        for m, block, suffix, mask, shift, starts, places in self.groups:
+            end = m
             while end <= n:
-                key = (words[end - 2], words[end - 1]) if block == 2 else (words[end - 1],)
-                step = get(key, default)
+                step = shift[_hash(ids[end - block : end], mask)]
                 if step:
                     end += step
                     continue
-                here = words[end - m : end]
-                for pattern, owners in buckets[key]:
-                    if pattern == here:
-                        names.update(owners)
-                        spans.append((end - m, end))
+                at = _hash(ids[end - suffix : end], mask)
+                here = text[4 * (end - m) : 4 * end]
+                hits = [p for p in places[starts[at] : starts[at + 1]].tolist() if stream[4 * p : 4 * (p + m)] == here]
+                if hits:
+                    spans.append((end - m, end))
+                    found.update(hits)
                 end += 1
-        return merged(spans), names
+        at = np.searchsorted(self.item_starts, np.fromiter(found, np.int64, len(found)), "right") - 1
+        return merged(spans), {self.names[i] for i in at.tolist()}
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,18 +156,23 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     shards = max(1, -(-total // shard_bytes))
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT.names]
     out = docs.select(*dict.fromkeys([*keep, text_col]))
+    if shards > 1:
+        items = materialize(items.withColumn("shard", F.pmod(F.xxhash64("name", "body"), F.lit(shards))).repartition("shard"), "benchmark")
     for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("name", "body"), F.lit(shards)) == k) if shards > 1 else items
-        searcher = docs.sparkSession.sparkContext.broadcast(Searcher((r["name"], bytes(r["body"])) for r in part.toLocalIterator()).groups)
+        part = items.where(F.col("shard") == k) if shards > 1 else items
+        searcher = docs.sparkSession.sparkContext.broadcast(Searcher(((r["name"], bytes(r["body"])) for r in part.toLocalIterator()), window).compiled)
         first, last = k == 0, k == shards - 1
         schema = T.StructType([f for f in out.schema if f.name not in RESULT.names and (not last or f.name in keep)] + RESULT.fields)
         out = out.mapInArrow(_search(searcher, text_col, [f.name for f in schema if f.name not in RESULT.names], first), schema)
+        if not last:
+            out = materialize(out, "searched")
+            searcher.destroy()
     return out
 
 
 def _search(searcher, text_col: str, carry: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Searcher((), groups=searcher.value).spans
+        find = Searcher((), compiled=searcher.value).spans
         for batch in batches:
             counts, spans, names = [], [], []
             before = [([], [])] * len(batch) if first else zip(batch["hit_spans"].to_pylist(), batch["hit_items"].to_pylist(), strict=True)
@@ -146,7 +195,3 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, **options
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     out = out.withColumn("n_hit", hit).withColumn("n_items", F.size("hit_items").cast("long"))
     return out.withColumn("items_sha256", F.sha2(F.array_join("hit_items", ","), 256)).withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def sha256_of(names: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
