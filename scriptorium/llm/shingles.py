@@ -43,6 +43,28 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the text and 64-bit hash of every word of all texts, in order.
+
+    ``table`` maps each byte; what it maps to a space or a line feed stands
+    between words.
+    """
+    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    raw = np.frombuffer((b"\n".join(texts) + b"\n").translate(table), np.uint8)
+    first, past, words = _words_in(raw)
+    return np.searchsorted(offsets, first, "right") - 1, words
+
+
+def _words_in(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    gap = (raw == 10) | (raw == 32)
+    power, inverse = _power_tables(len(raw) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(gap, np.uint64(0), _BYTE[raw] * power[: len(raw)]))))
+    first = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    past = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+    return first, past, mix((sums[past] - sums[first]) * inverse[first] + (past - first).astype(np.uint64))
+
+
 @dataclass
 class Sets:
     """Sets of a chunk: ``text`` and ``line`` say where each is from, ``starts``
@@ -67,12 +89,7 @@ def shingle_sets(texts: list[bytes], by_line: bool, min_words: int = 1) -> Sets:
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     raw = np.frombuffer((b"\n".join(texts) + b"\n").translate(_LOWER), np.uint8)
     breaks = raw == 10
-    gap = breaks | (raw == 32)
-    power, inverse = _power_tables(len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(gap, np.uint64(0), _BYTE[raw] * power[: len(raw)]))))
-    first = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
-    past = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    words = mix((sums[past] - sums[first]) * inverse[first] + (past - first).astype(np.uint64))
+    first, _, words = _words_in(raw)
 
     if by_line:
         ends = np.flatnonzero(breaks)

@@ -1,127 +1,183 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings of four to six bytes.  A bounded sample of
-labelled rows (``max_examples``, the smallest hashes of their ids) is the
-fitting set: the ``max_terms`` terms most associated with the label, by the likelihood
-ratio and with rates ``least_lift`` times apart, span the vectors, and the
-sample's vectors are the examples.
+Terms are the lower-cased words of the whole texts; no term is left out.  The
+weight of a term is ``(1 + log tf) * idf * (1 + ratio / RATIO)``, where the
+ratio is the likelihood ratio of the term and the label among the examples
+(supervised term weighting): the more a word tells of the label, the nearer
+texts that share it.  A bounded sample of labelled rows (``max_examples``, the
+smallest hashes of their ids) gives the examples and their statistics; a term
+that no example has counts in the length of a document's vector.
 
 The examples lie in an inverted index of blocks of 64.  For each term a block
 has its largest weight; the sum of these bounds what any example of the block
 can score.  Blocks are opened by falling bound until no other can hold one of
 the ``k`` nearest, which makes the answer exact.  Neighbours vote with the
 square of their cosine.  Votes become probabilities through an isotonic fit of
-the examples' own votes, each with itself left out.
-
-Defined results: null and empty texts, and texts without a chosen term, score
-the rate of label 1 among examples without a term; labels that are null are
-ignored and repeated labels of an id count once (the largest); long texts are
-read whole; with no labelled rows every score is 0; repeated rows give repeated
-results; extra columns pass through if named in ``keep``.
+the examples' own votes, each with itself left out; equal votes are pooled.
+
+Terms are told apart by 64-bit hashes.  The index is broadcast; its size is
+that of the sample's texts, which ``max_examples`` bounds by rows.
+
+Defined results: null and empty texts, and texts without a word of any
+example, have no neighbour and score the rate of label 1; labels that are null
+or neither 0 nor 1 are ignored, and repeated labels of an id count once (the
+largest); examples of equal cosine are ordered by number, which is that of
+their id; long texts are read whole; with no labelled rows every score is 0;
+with labels of one kind every score is that label; repeated rows give repeated
+results; extra columns pass through if named in ``keep``, and columns with the
+name of a result give way to it.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import held_out, materialize
-from .wu_manber import words_of
+from .shared import held_out, materialize, spread
+from .shingles import chunks, word_hashes
+from .wu_manber import WORD_BYTES
 
 BLOCK = 64
-#: Blocks that are opened together before the bound is looked at again.
+#: Blocks that are opened first before the bounds are looked at again; then eight times as many each time.
 OPENED = 8
-BEGINNINGS = (4, 5, 6)
-
-
-def terms_of(word: bytes) -> list[bytes]:
-    return [word, *[word[:n] + b"*" for n in BEGINNINGS if len(word) > n]]
-
-
-class Vectors:
-    """Texts as unit vectors over the chosen terms."""
-
-    def __init__(self, terms: Sequence[bytes], idf: Sequence[float]):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf = np.asarray(idf, np.float64)
-        self.heads = {t[:4] for t in terms}
-
-    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending term numbers and weights of length 1; empty without terms."""
-        heads, get = self.heads, self.terms.get
-        found: dict[int, int] = {}
-        for word in words_of(text):
-            if word[:4] in heads:
-                for term in terms_of(word):
-                    if (i := get(term)) is not None:
-                        found[i] = found.get(i, 0) + 1
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids = np.array(sorted(found), np.int64)
-        weights = np.array([1 + math.log(found[i]) for i in ids.tolist()]) * self.idf[ids]
-        return ids, weights / math.sqrt(float(weights @ weights))
+#: Terms that are held as full columns: at most so many, in such a share of the examples.
+COMMON, SHARE = 512, 1 / 64
+#: Documents whose product with the full columns is taken together, and its rounding.
+TOGETHER, MARGIN = 32, 2e-5
+#: Likelihood ratio that doubles the weight of a term.
+RATIO = 25.0
+
+
+def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, term and its count, ascending."""
+    text, term = word_hashes(texts, WORD_BYTES)
+    order = np.lexsort((term, text))
+    text, term = text[order], term[order]
+    fresh = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (term[1:] != term[:-1])))) if len(text) else np.zeros(0, np.int64)
+    return text[fresh], term[fresh], np.diff(np.concatenate((fresh, [len(text)])))
+
+
+class Space:
+    """Terms (ascending hashes) and their weights without term frequency."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, unknown: float):
+        self.terms, self.weight, self.unknown = terms, weight, unknown
+
+    def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ascending term numbers and weights of each text, as unit vectors;
+        terms that the space lacks are left out after the length is taken."""
+        text, term, count = term_counts(texts)
+        at = np.searchsorted(self.terms, term)
+        known = self.terms[np.minimum(at, len(self.terms) - 1)] == term if len(self.terms) else np.zeros(len(term), bool)
+        weight = (1 + np.log(count)) * np.where(known, self.weight[np.minimum(at, len(self.terms) - 1)] if len(self.terms) else 0, self.unknown)
+        length = np.sqrt(np.bincount(text, weight**2, len(texts)))
+        text, at, weight = text[known], at[known], weight[known] / length[text[known]]
+        bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+        return [(at[a:b], weight[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class BlockMaxIndex:
-    """Inverted lists of examples with the largest weight of each block."""
+    """Inverted lists of examples with the largest weight of each block.
+
+    Only the (term, block) pairs with an entry are held, by term.  The lists of
+    the commonest terms (at most ``COMMON``, each in a ``SHARE`` of the examples
+    or more) are held as full columns, for which a block's bound is exact: a
+    matrix product of some documents with them gives it.
+    """
 
     def __init__(self, n_terms: int, vectors: Sequence[tuple[np.ndarray, np.ndarray]]):
         self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
+        self.blocks = max(1, -(-self.size // BLOCK))
         lengths = [len(v[0]) for v in vectors]
         term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-        owner = np.repeat(np.arange(self.size), lengths)
-        order = np.lexsort((owner, term))
-        self.term, self.owner, self.weight = term[order], owner[order], weight[order]
-        cell = self.term * max(1, self.blocks) + self.owner // BLOCK
-        #: Where the entries of (term, block) begin.
-        self.starts = np.searchsorted(cell, np.arange(n_terms * max(1, self.blocks) + 1))
-        self.most = np.zeros(n_terms * max(1, self.blocks))
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, max(1, self.blocks))
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of largest positive cosine, ties by number."""
-        if not len(ids) or not self.size:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[ids]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        for at in range(0, len(order), OPENED):
-            group = order[at : at + OPENED]
-            group = group[(bound[group] > 0) & ((len(best) < k) | (bound[group] >= (best[-1] if len(best) else 0) - 1e-12))]
-            if not len(group):
+        weight = (np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)).astype(np.float32)
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), lengths)
+        held = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-held, kind="stable")[:COMMON]
+        common = common[held[common] >= max(1, SHARE * self.size)]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.columns = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        full = self.column[term] >= 0
+        self.columns[self.column[term[full]], owner[full]] = weight[full]
+        term, owner, weight = term[~full], owner[~full], weight[~full]
+        order = np.argsort(term, kind="stable")
+        term, self.owner, self.weight = term[order], owner[order], weight[order]
+        block = self.owner // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self.cell_block = block[first]
+        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        #: Where the entries of a cell and the cells of a term begin.
+        self.cell_start = np.concatenate((first, [len(term)])).astype(np.int32)
+        self.term_start = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+
+    def nearest(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], k: int, skip: Sequence[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the ``k`` examples of largest positive cosine, ties by number."""
+        for at in range(0, len(vectors), TOGETHER):
+            some = vectors[at : at + TOGETHER]
+            asked = np.zeros((len(some), len(self.columns)))
+            for row, (ids, weights) in zip(asked, some, strict=True):
+                column = self.column[ids]
+                row[column[column >= 0]] = weights[column >= 0]
+            rough = asked.astype(np.float32) @ self.columns
+            for i, (ids, weights) in enumerate(some):
+                rare = self.column[ids] < 0
+                yield self._one(ids[rare], weights[rare], asked[i], rough[i], k, -1 if skip is None else skip[at + i])
+
+    def _one(self, ids: np.ndarray, weights: np.ndarray, asked: np.ndarray, rough: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        begin, count = self.term_start[ids], self.term_start[ids + 1] - self.term_start[ids]
+        cells = _runs(begin, count)
+        of_cell = np.repeat(weights, count)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, of_cell * self.cell_most[cells], self.blocks) + rough.reshape(self.blocks, BLOCK).max(1)
+        listed = np.zeros(self.blocks * BLOCK)
+        near, best, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        closed, opened = bound > 0, OPENED
+        while True:
+            some = np.flatnonzero(closed & (bound >= least - MARGIN))
+            if not len(some):
                 break
-            cells = (ids[:, None] * self.blocks + group[None, :]).ravel()
-            first = self.starts[cells]
-            length = self.starts[cells + 1] - first
-            entries = np.arange(int(length.sum())) + np.repeat(first - (np.cumsum(length) - length), length)
-            parts = np.repeat(np.repeat(weights, len(group)), length) * self.weight[entries]
-            score = np.bincount(self.owner[entries], parts, self.size)
-            if skip >= 0:
-                score[skip] = 0
-            here = np.flatnonzero(score > 0)
-            all_ids = np.concatenate((best_ids, here))
-            scores = np.concatenate((best, score[here]))
-            top = np.lexsort((all_ids, -scores))[:k]
-            best_ids, best = all_ids[top], scores[top]
-        return best_ids, best
+            if len(some) > opened:  # those of the highest bounds first
+                some = some[np.argpartition(-bound[some], opened)[:opened]]
+            closed[some] = False
+            now = np.zeros(self.blocks, bool)
+            now[some] = True
+            pick = np.flatnonzero(now[block])
+            here, w = cells[pick], of_cell[pick]
+            size = self.cell_start[here + 1] - self.cell_start[here]
+            entries = _runs(self.cell_start[here], size)
+            listed += np.bincount(self.owner[entries], np.repeat(w, size) * self.weight[entries], len(listed))
+            mine = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            score = listed[mine] + rough[mine]
+            good = (score > max(0.0, least - MARGIN)) & (mine != skip)
+            near, best = np.concatenate((near, mine[good])), np.concatenate((best, score[good]))
+            if len(best) > k:
+                least = np.partition(best, -k)[-k]
+                near, best = near[best >= least - MARGIN], best[best >= least - MARGIN]
+            opened *= 8
+        # What is left is scored anew in double precision.
+        exact = asked @ self.columns[:, near] + listed[near]
+        top = np.lexsort((near, -exact))[:k]
+        return near[top], exact[top]
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of ``lengths[i]`` elements from each ``starts[i]``."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: rising levels at rising x."""
-    order = np.argsort(x, kind="stable")
+    """Pool equal x, then adjacent violators: rising levels at rising x."""
+    values, owner = np.unique(x, return_inverse=True)
     levels: list[list[float]] = []
-    for a, b in zip(x[order], y[order], strict=True):
-        levels.append([a, a, b, 1.0])
+    for a, total, n in zip(values, np.bincount(owner, y), np.bincount(owner), strict=True):
+        levels.append([a, a, total, float(n)])
         while len(levels) > 1 and levels[-2][2] * levels[-1][3] >= levels[-1][2] * levels[-2][3]:
             last = levels.pop()
             levels[-1] = [levels[-1][0], last[1], levels[-1][2] + last[2], levels[-1][3] + last[3]]
@@ -131,86 +187,105 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Vectors, index, labels and calibration; plain data, so that it can be sent."""
+    """Space, index, labels and calibration; plain data, so that it can be sent."""
 
-    def __init__(self, terms, idf, vectors, labels, base: float, k: int, smooth: float):
-        self.space = Vectors(terms, idf)
-        self.index = BlockMaxIndex(max(1, len(terms)), vectors)
+    def __init__(self, space: Space, index: BlockMaxIndex, labels: np.ndarray, names: list[str], base: float, k: int, smooth: float):
+        self.space, self.index, self.names = space, index, names
         self.labels = np.asarray(labels, np.float64)
         self.base, self.k, self.smooth = base, k, smooth
-        own = np.array([self.vote(*self.index.nearest(*v, k, i)) for i, v in enumerate(vectors)])
-        self.xs, self.ys = isotonic(own, self.labels) if len(own) else (np.zeros(1), np.zeros(1))
+        self.xs, self.ys = np.zeros(1), np.full(1, base)
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines**2
         return float((w @ self.labels[ids] + self.smooth * self.base) / (w.sum() + self.smooth))
 
-    def score(self, text: bytes | None) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, weights = self.space.vector(text)
-        near, cosines = self.index.nearest(ids, weights, self.k)
-        if not len(near):
-            return self.base, near, cosines
-        p = float(np.interp(self.vote(near, cosines), self.xs, self.ys))
-        return min(1.0, max(0.0, p)), near, cosines
+    def scores(self, texts: list[bytes]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, neighbours and cosines of each text."""
+        if not self.index.size:
+            yield from ((self.base, np.zeros(0, np.int64), np.zeros(0)) for _ in texts)
+            return
+        for near, cosines in self.index.nearest(self.space.vectors(texts), self.k):
+            p = float(np.interp(self.vote(near, cosines), self.xs, self.ys)) if len(near) else self.base
+            yield min(1.0, max(0.0, p)), near, cosines
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
-            counts[y].update({t for w in set(words_of(text)) for t in terms_of(w)})
-        if sum(map(len, counts)) > 500_000:
-            yield _counted(counts)
-            counts = (Counter(), Counter())
-    yield _counted(counts)
+        texts = batch["text"].to_pylist()
+        for a, b in chunks(texts):
+            text, term, count = term_counts(texts[a:b])
+            offsets = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(offsets), pa.array(term.view(np.int64)))
+            counts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(count.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a).cast(pa.string()), batch["y"].slice(a, b - a), terms, counts], ["id", "y", "terms", "counts"])
 
 
-def _counted(counts) -> pa.RecordBatch:
-    terms = list(counts[0].keys() | counts[1].keys())
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), *[pa.array([c[t] for t in terms], pa.int64()) for c in counts]], ["term", "n0", "n1"])
+def _log_part(k: np.ndarray, n: float, p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return k * np.log(p) + (n - k) * np.log1p(-p)
 
 
-def _log_part(k: Column, n: float, p: Column) -> Column:
-    return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(F.lit(n) - k > 0, (F.lit(n) - k) * F.log1p(-p)).otherwise(0.0)
+def likelihood_ratio(with0: np.ndarray, with1: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """Twice the log likelihood ratio of terms held by so many of the examples of each label."""
+    both = (with0 + with1) / (n0 + n1)
+    return np.maximum(0, 2 * (_log_part(with1, n1, with1 / n1) + _log_part(with0, n0, with0 / n0) - _log_part(with1, n1, both) - _log_part(with0, n0, both)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = 20_000, max_terms: int = 2048, least_ratio: float = 25.0, least_lift: float = 4.0, k: int = 16, smooth: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = 10_000, k: int = 16, smooth: float = 0.05) -> Model:
     """Fit on at most ``max_examples`` labelled rows that are not held out."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_examples)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    sample = materialize(texts.join(F.broadcast(chosen), "id"), "toxic-sample")
-    totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = float(totals.get(0, 0)), float(totals.get(1, 0))
+    counted = texts.join(F.broadcast(chosen), "id").mapInArrow(_counted, "id string, y int, terms array<long>, counts array<int>")
+    sample = materialize(counted, "toxic-sample").orderBy("id", F.xxhash64("terms", "counts")).toArrow()
+    y = sample["y"].to_numpy().astype(np.float64)
+    n1 = float(y.sum())
+    n0 = len(y) - n1
     if not n0 or not n1:
-        return Model([], [], [], [], 1.0 if n1 else 0.0, k, smooth)
-    counted = sample.mapInArrow(_term_counts, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 5")
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    both = F.least((a + b) / (n0 + n1), F.lit(1 - 1e-9))
-    edge = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    ratio = 2 * (_log_part(a, n1, edge(a / n1)) + _log_part(b, n0, edge(b / n0)) - _log_part(a, n1, both) - _log_part(b, n0, both))
-    lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    best = counted.withColumn("ratio", F.round(ratio, 6)).where((F.col("ratio") >= least_ratio) & ((lift >= least_lift) | (lift <= 1 / least_lift))).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()
-    terms = [bytes(r["term"]) for r in best]
-    idf = [math.log((1 + n0 + n1) / (1 + r["n0"] + r["n1"])) + 1 for r in best]
-    space = docs.sparkSession.sparkContext.broadcast((terms, idf))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Vectors(*space.value)
-        for batch in batches:
-            rows = [made.vector(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"].cast(pa.string()), batch["y"], pa.array([v[0].tolist() for v in rows], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in rows], pa.list_(pa.float64()))], ["id", "y", "ids", "weights"])
-
-    rows = sorted(sample.mapInArrow(vectors, "id string, y int, ids array<long>, weights array<double>").collect(), key=lambda r: (r["id"], r["ids"], r["weights"]))
-    blank = [r["y"] for r in rows if not r["ids"]]
-    # Examples with the same heaviest terms lie together, so that the bounds of blocks are close.
-    full = sorted((r for r in rows if r["ids"]), key=lambda r: [i for _, i in sorted(zip(r["weights"], r["ids"], strict=True), key=lambda x: (-x[0], x[1]))[:4]])
-    base = (sum(blank) + n1 / (n0 + n1)) / (len(blank) + 1)
-    model = Model(terms, idf, [(np.array(r["ids"], np.int64), np.array(r["weights"])) for r in full], [r["y"] for r in full], base, k, smooth)
-    model.example_ids = [r["id"] for r in full]
+        return Model(Space(np.zeros(0, np.uint64), np.zeros(0), 1.0), BlockMaxIndex(0, []), [], [], 1.0 if n1 else 0.0, k, smooth)
+    lengths = sample["terms"].combine_chunks().value_lengths().to_numpy()
+    held = sample["terms"].combine_chunks().flatten().to_numpy().view(np.uint64)
+    count = sample["counts"].combine_chunks().flatten().to_numpy()
+    owner = np.repeat(np.arange(len(y)), lengths)
+    terms, number = np.unique(held, return_inverse=True)
+    with1 = np.bincount(number, y[owner], len(terms))
+    with0 = np.bincount(number, minlength=len(terms)) - with1
+    idf = np.log((1 + n0 + n1) / (1 + with0 + with1)) + 1
+    space = Space(terms, idf * (1 + likelihood_ratio(with0, with1, n0, n1) / RATIO), float(np.log(1 + n0 + n1) + 1))
+    weight = (1 + np.log(count)) * space.weight[number]
+    weight /= np.sqrt(np.bincount(owner, weight**2, len(y)))[owner]
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    # Examples with the same heaviest term lie together, so that the bounds of blocks are close.
+    heaviest = np.full((len(y), 2), -1)
+    order = np.lexsort((number, -weight, owner))
+    for j in range(2):
+        some = lengths > j
+        heaviest[some, j] = number[order[starts[:-1][some] + j]]
+    place = np.lexsort((np.arange(len(y)), heaviest[:, 1], heaviest[:, 0]))
+    vectors = [(number[starts[i] : starts[i + 1]], weight[starts[i] : starts[i + 1]]) for i in place]
+    names = sample["id"].to_pylist()
+    model = Model(space, BlockMaxIndex(len(terms), vectors), y[place], [names[i] for i in place], n1 / (n0 + n1), k, smooth)
+    model.xs, model.ys = calibration(docs, model, vectors)
     return model
 
 
+def calibration(docs: DataFrame, model: Model, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """The isotonic fit of every example's vote without itself, voted by the executors."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((model, vectors))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = sent.value
+        for batch in batches:
+            mine = batch["id"].to_pylist()
+            near = here.index.nearest([held[i] for i in mine], here.k, mine)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([here.vote(*x) for x in near], pa.float64())], ["id", "vote"])
+
+    rows = spark.range(0, len(vectors), 1, max(1, len(vectors) // 500)).mapInArrow(votes, "id long, vote double").orderBy("id").toArrow()
+    sent.destroy()
+    return isotonic(rows["vote"].to_numpy(), model.labels)
+
+
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("neighbours", T.ArrayType(T.StructType([T.StructField("example", T.StringType()), T.StructField("cosine", T.DoubleType())])))])
 
 
@@ -218,23 +293,18 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] | None = None, text
     """Add ``score``, ``predicted`` and the five nearest ``neighbours``."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT.names]
     schema = T.StructType([docs.schema[c] for c in keep] + RESULT.fields)
-    names = getattr(model, "example_ids", [])
-    sent = docs.sparkSession.sparkContext.broadcast({k: v for k, v in vars(model.index).items()} | {"terms": list(model.space.terms), "idf": model.space.idf, "labels": model.labels, "base": model.base, "k": model.k, "smooth": model.smooth, "xs": model.xs, "ys": model.ys, "names": names})
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sent.value
-        here = Model.__new__(Model)
-        here.space = Vectors(got["terms"], got["idf"])
-        here.index = BlockMaxIndex.__new__(BlockMaxIndex)
-        vars(here.index).update({c: got[c] for c in ("size", "blocks", "term", "owner", "weight", "starts", "most")})
-        vars(here).update({c: got[c] for c in ("labels", "base", "k", "smooth", "xs", "ys")})
+        here = sent.value
         for batch in batches:
+            texts = [t or b"" for t in batch[text_col].cast(pa.binary()).to_pylist()]
             scores, near = [], []
-            for text in batch[text_col].cast(pa.binary()):
-                p, ids, cosines = here.score(text.as_py())
-                scores.append(p)
-                near.append([{"example": got["names"][i], "cosine": c} for i, c in zip(ids[:5].tolist(), cosines[:5].tolist(), strict=True)])
+            for a, b in chunks(texts):
+                for p, ids, cosines in here.scores(texts[a:b]):
+                    scores.append(p)
+                    near.append([{"example": here.names[i], "cosine": c} for i, c in zip(ids[:5].tolist(), cosines[:5].tolist(), strict=True)])
             made = [pa.array(scores, pa.float64()), pa.array([int(p >= threshold) for p in scores], pa.int32()), pa.array(near, pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64())])))]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], *made], [*keep, *RESULT.names])
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return spread(docs.select(*dict.fromkeys([*keep, text_col]))).mapInArrow(run, schema)
