@@ -71,13 +71,15 @@ class Space:
     def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ascending term numbers and weights of each text, as unit vectors;
         terms that the space lacks are left out after the length is taken."""
-        text, term, count = term_counts(texts)
+        return self.of_counts(*term_counts(texts), len(texts))
+
+    def of_counts(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         at = np.searchsorted(self.terms, term)
         known = self.terms[np.minimum(at, len(self.terms) - 1)] == term if len(self.terms) else np.zeros(len(term), bool)
         weight = (1 + np.log(count)) * np.where(known, self.weight[np.minimum(at, len(self.terms) - 1)] if len(self.terms) else 0, self.unknown)
-        length = np.sqrt(np.bincount(text, weight**2, len(texts)))
+        length = np.sqrt(np.bincount(text, weight**2, n))
         text, at, weight = text[known], at[known], weight[known] / length[text[known]]
-        bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+        bounds = np.searchsorted(text, np.arange(n + 1))
         return [(at[a:b], weight[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -110,7 +112,7 @@ class BlockMaxIndex:
         term, self.owner, self.weight = term[order], owner[order], weight[order]
         block = self.owner // BLOCK
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
-        self.cell_block = block[first]
+        self.cell_block = block[first].astype(np.int16 if self.blocks < 1 << 15 else np.int32)
         self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         #: Where the entries of a cell and the cells of a term begin.
         self.cell_start = np.concatenate((first, [len(term)])).astype(np.int32)
@@ -187,7 +189,15 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Space, index, labels and calibration; plain data, so that it can be sent."""
+    """Space, index, labels and calibration; plain data, so that it can be sent.
+
+    ``sent`` is its broadcast, made before the calibration and used by both.
+    """
+
+    sent = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "sent"}
 
     def __init__(self, space: Space, index: BlockMaxIndex, labels: np.ndarray, names: list[str], base: float, k: int, smooth: float):
         self.space, self.index, self.names = space, index, names
@@ -220,6 +230,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a).cast(pa.string()), batch["y"].slice(a, b - a), terms, counts], ["id", "y", "terms", "counts"])
 
 
+def _flat(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the row, term and count of all terms of ``terms`` and ``counts``."""
+    lists = batch["terms"].combine_chunks() if isinstance(batch["terms"], pa.ChunkedArray) else batch["terms"]
+    counts = batch["counts"].combine_chunks() if isinstance(batch["counts"], pa.ChunkedArray) else batch["counts"]
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    return owner, lists.flatten().to_numpy().view(np.uint64), counts.flatten().to_numpy()
+
+
 def _log_part(k: np.ndarray, n: float, p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-12, 1 - 1e-12)
     return k * np.log(p) + (n - k) * np.log1p(-p)
@@ -237,16 +255,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_examples)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     counted = texts.join(F.broadcast(chosen), "id").mapInArrow(_counted, "id string, y int, terms array<long>, counts array<int>")
-    sample = materialize(counted, "toxic-sample").orderBy("id", F.xxhash64("terms", "counts")).toArrow()
+    table = materialize(counted.withColumn("row", F.monotonically_increasing_id()), "toxic-sample")
+    sample = table.toArrow()
+    sample = sample.take(pa.array(np.lexsort((sample["row"].to_numpy(), sample["id"].to_numpy(zero_copy_only=False).astype(str)))))
     y = sample["y"].to_numpy().astype(np.float64)
     n1 = float(y.sum())
     n0 = len(y) - n1
     if not n0 or not n1:
         return Model(Space(np.zeros(0, np.uint64), np.zeros(0), 1.0), BlockMaxIndex(0, []), [], [], 1.0 if n1 else 0.0, k, smooth)
-    lengths = sample["terms"].combine_chunks().value_lengths().to_numpy()
-    held = sample["terms"].combine_chunks().flatten().to_numpy().view(np.uint64)
-    count = sample["counts"].combine_chunks().flatten().to_numpy()
-    owner = np.repeat(np.arange(len(y)), lengths)
+    owner, held, count = _flat(sample)
+    lengths = np.bincount(owner, minlength=len(y))
     terms, number = np.unique(held, return_inverse=True)
     with1 = np.bincount(number, y[owner], len(terms))
     with0 = np.bincount(number, minlength=len(terms)) - with1
@@ -265,25 +283,30 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     vectors = [(number[starts[i] : starts[i + 1]], weight[starts[i] : starts[i + 1]]) for i in place]
     names = sample["id"].to_pylist()
     model = Model(space, BlockMaxIndex(len(terms), vectors), y[place], [names[i] for i in place], n1 / (n0 + n1), k, smooth)
-    model.xs, model.ys = calibration(docs, model, vectors)
+    model.sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = sample["row"].to_numpy()[place]
+    model.xs, model.ys = calibration(table, model, rows)
     return model
 
 
-def calibration(docs: DataFrame, model: Model, vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """The isotonic fit of every example's vote without itself, voted by the executors."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model, vectors))
+def calibration(sample: DataFrame, model: Model, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The isotonic fit of every example's vote without itself, voted by the
+    executors; ``rows`` has the row of the sample of each example."""
+    sent, order = model.sent, np.argsort(rows)
+    places = sample.sparkSession.sparkContext.broadcast((rows[order], order))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = sent.value
+        here, (known, place) = sent.value, places.value
         for batch in batches:
-            mine = batch["id"].to_pylist()
-            near = here.index.nearest([held[i] for i in mine], here.k, mine)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([here.vote(*x) for x in near], pa.float64())], ["id", "vote"])
+            mine = place[np.searchsorted(known, batch["row"].to_numpy())]
+            near = here.index.nearest(here.space.of_counts(*_flat(batch), len(batch)), here.k, mine.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array([here.vote(*x) for x in near], pa.float64())], ["at", "vote"])
 
-    rows = spark.range(0, len(vectors), 1, max(1, len(vectors) // 500)).mapInArrow(votes, "id long, vote double").orderBy("id").toArrow()
-    sent.destroy()
-    return isotonic(rows["vote"].to_numpy(), model.labels)
+    found = spread(sample.select("row", "terms", "counts")).mapInArrow(votes, "at long, vote double").toArrow()
+    places.destroy()
+    vote = np.zeros(len(rows))
+    vote[found["at"].to_numpy()] = found["vote"].to_numpy()
+    return isotonic(vote, model.labels)
 
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("neighbours", T.ArrayType(T.StructType([T.StructField("example", T.StringType()), T.StructField("cosine", T.DoubleType())])))])
@@ -293,10 +316,12 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] | None = None, text
     """Add ``score``, ``predicted`` and the five nearest ``neighbours``."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT.names]
     schema = T.StructType([docs.schema[c] for c in keep] + RESULT.fields)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.sent or docs.sparkSession.sparkContext.broadcast(model)
+    xs, ys = model.xs, model.ys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = sent.value
+        here.xs, here.ys = xs, ys
         for batch in batches:
             texts = [t or b"" for t in batch[text_col].cast(pa.binary()).to_pylist()]
             scores, near = [], []
