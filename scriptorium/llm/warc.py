@@ -8,9 +8,10 @@ Of pages with equal payloads the one with the smallest id is a ``response``,
 the others are ``revisit`` records that refer to it and carry no payload.
 
 *Index.*  Captures are sorted by reversed-host key (``org,example,blog)/path``)
-and packed into compressed blocks; a sparse directory has the first key, file,
-offset and length of every block.  A look-up searches the directory by
-bisection, reads the range of one block, and then the ranges of the records.
+and packed into compressed blocks; a sparse directory has the first key,
+record, file, offset and length of every block.  A look-up searches the
+directory by bisection, reads the range of one block, and then the ranges of the
+records; many look-ups are sorted first, so that each block is read once.
 
 *Skew.*  Copies are found by aggregation, with partial sums in each task, and
 joined back under a salt: a payload, host or url with a third of all pages is
@@ -23,8 +24,10 @@ Range reads use ``pyarrow.fs``: the shared folder must be one it can open
 Defined results: null html is an empty payload; a null url has an empty key; a
 null id comes last, so such a page is a response only if all its copies have
 null ids, and its ``refers_to`` is then null; repeated rows with the id of the
-response are responses too; extra columns are ignored; an empty table gives an
-empty archive and an empty result.
+response are responses too; ids may be empty or hold any character; extra
+columns are ignored, whatever their names; very long pages are one record each,
+up to 2 GB, and files are read in steps, so that only one record of a task is in
+memory; an empty table gives an empty archive and an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -72,6 +75,11 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def urn(page_id) -> str:
+    """A record id that any page id, also an empty one or one with line breaks, comes back from."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
     """One WARC 1.1 record as a gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -79,7 +87,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, rev
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -90,7 +98,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, rev
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
-            head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+            head.append(f"WARC-Refers-To: {urn(refers_to)}")
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 5, mtime=0)
 
 
@@ -108,7 +116,7 @@ def parse_record(data: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     told = re.search(rb"(?im)^content-length: (\d+)", http)
     revisit = fields["WARC-Type"] == "revisit"
-    ids = {k: (m[1] if (m := _URN.match(fields.get(k, ""))) and m[1] else None) for k in ("WARC-Record-ID", "WARC-Refers-To")}
+    ids = {k: (unquote(m[1]) if (m := _URN.match(fields.get(k, ""))) else None) for k in ("WARC-Record-ID", "WARC-Refers-To")}
     return {
         "page_id": ids["WARC-Record-ID"],
         "url": fields.get("WARC-Target-URI"),
@@ -120,20 +128,26 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def members(data: bytes, step: int = 1 << 14) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, length and content of each gzip member that is not empty."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        reader, parts, end = zlib.decompressobj(31), [], at
+def members(file, step: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each gzip member that is not empty, of an
+    open file that is read in steps: no more than one member is in memory."""
+    at, view, pos = 0, memoryview(file.read(step)), 0
+    while pos < len(view):
+        reader, parts, used = zlib.decompressobj(31), [], 0
         while not reader.eof:
-            if end >= len(view):
-                raise EOFError("a gzip member is cut off")
-            parts.append(reader.decompress(view[end : end + step]))
-            end = min(len(view), end + step)
-        end -= len(reader.unused_data)
+            if pos == len(view):
+                view, pos = memoryview(file.read(step)), 0
+                if not len(view):
+                    raise EOFError("a gzip member is cut off")
+            given = view[pos : pos + 4096]
+            parts.append(reader.decompress(given))
+            taken = len(given) - len(reader.unused_data)
+            used, pos = used + taken, pos + taken
         if content := b"".join(parts):
-            yield at, end - at, content
-        at = end
+            yield at, used, content
+        at += used
+        if pos == len(view):
+            view, pos = memoryview(file.read(step)), 0
 
 
 def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -183,21 +197,31 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 5000, **
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    """Paths of the files; their contents are read in steps by the tasks."""
+    return spark.read.format("binaryFile").load(path).select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def _capture_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-            rows = []
-            for offset, length, data in members(content.as_py()):
+    types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    for path in (p for batch in batches for p in batch["path"].to_pylist()):
+        rows: list[tuple] = []
+        with open_range_reader(path) as file:
+            for offset, length, data in members(file):
                 head, _, _ = data.partition(b"\r\n\r\n")
                 fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
                 rows.append((surt(fields.get("WARC-Target-URI")), fields["WARC-Record-ID"], path, offset, length))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "record", "path", "offset", "length"])
+                if len(rows) == 10_000:
+                    yield _batch(rows, types, ENTRIES)
+                    rows = []
+        yield _batch(rows, types, ENTRIES)
+
 
+def _batch(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
+
+ENTRIES = ["key", "record", "path", "offset", "length"]
 ENTRY = "key string, record string, path string, offset long, length long"
 
 
@@ -221,12 +245,15 @@ def _pack_blocks(per_block: int):
     return run
 
 
+DIRECTORY = "first_key string, first_record string, path string, offset long, length long"
+
+
 def _block_directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-            rows = [(json.loads(data[: data.find(b"\n")] if b"\n" in data else data)[0], path, offset, length) for offset, length, data in members(content.as_py())]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["first_key", "path", "offset", "length"])
+    types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    for path in (p for batch in batches for p in batch["path"].to_pylist()):
+        with open_range_reader(path) as file:
+            rows = [(*json.loads(data.split(b"\n", 1)[0])[:2], path, offset, length) for offset, length, data in members(file)]
+        yield _batch(rows, types, ["first_key", "first_record", "path", "offset", "length"])
 
 
 def build_index(spark: SparkSession, archives: str, path: str, per_block: int = 1000, blocks_per_file: int = 2000) -> None:
@@ -235,13 +262,10 @@ def build_index(spark: SparkSession, archives: str, path: str, per_block: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = entries.repartitionByRange(parts, "key", "record").sortWithinPartitions("key", "record")
     _write_members(ordered.mapInArrow(_pack_blocks(per_block), "value binary"), f"{path}/blocks", blocks_per_file)
-    directory = _files(spark, f"{path}/blocks").mapInArrow(_block_directory, "first_key string, path string, offset long, length long")
+    directory = _files(spark, f"{path}/blocks").mapInArrow(_block_directory, DIRECTORY)
     directory.write.parquet(f"{path}/directory")
 
 
-_opened: dict[str, object] = {}
-
-
 def open_range_reader(path: str):
     """A file of the shared folder, opened for range reads."""
     fs, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
@@ -265,34 +289,115 @@ def read_ranges(ranges: Iterable[tuple[str, int, int]]) -> Iterator[bytes]:
 class CaptureIndex:
     """Look-ups of single urls through the two levels.
 
-    The directory is held in memory up to ``max_blocks`` rows (at 1000 captures
-    a block, thousands of millions of captures fit a few hundred MB); beyond
-    that it refuses, and :func:`read_captures` is the way to read many.
+    A directory of up to ``max_blocks`` rows is held in memory and bisected; a
+    larger one is asked with Spark for the few blocks that may hold the key.
     """
 
     def __init__(self, spark: SparkSession, path: str, max_blocks: int = 2_000_000):
-        directory = spark.read.parquet(f"{path}/directory")
-        if directory.count() > max_blocks:
-            raise ValueError(f"the directory has more than {max_blocks} blocks")
-        self.rows = sorted((r["first_key"], r["path"], r["offset"], r["length"]) for r in directory.collect())
-        self.keys = [r[0] for r in self.rows]
+        self.directory = spark.read.parquet(f"{path}/directory")
+        self.rows = _sorted_blocks(self.directory) if self.directory.count() <= max_blocks else None
+        self.keys = [r[0] for r in self.rows or ()]
         self.blocks_read = 0
 
+    def _blocks(self, key: str) -> list[tuple]:
+        if self.rows is not None:
+            at = max(0, bisect.bisect_left(self.keys, key) - 1)
+            return self.rows[at : bisect.bisect_right(self.keys, key)]
+        last = self.directory.where(F.col("first_key") < key).agg(F.max(F.struct("first_key", "first_record")).alias("m")).first()["m"]
+        wanted = F.col("first_key") == key
+        if last is not None:
+            wanted |= (F.col("first_key") == last[0]) & F.col("first_record").eqNullSafe(last[1])
+        return _sorted_blocks(self.directory.where(wanted))
+
     def lookup(self, url: str) -> list[dict]:
         """All captures of the url, as :func:`parse_record` returns them."""
-        key = surt(url)
-        at = max(0, bisect.bisect_left(self.keys, key) - 1)
-        found = []
-        while at < len(self.rows) and self.keys[at] <= key:
+        key, found = surt(url), []
+        for block in self._blocks(key):
             self.blocks_read += 1
-            for line in next(read_ranges([self.rows[at][1:]])).decode().split("\n"):
+            for line in next(read_ranges([block[2:]])).decode().split("\n"):
                 entry = json.loads(line)
                 if entry[0] == key:
-                    found.append((entry[2], entry[3], entry[4]))
-            at += 1
+                    found.append(tuple(entry[2:]))
         return [parse_record(data) for data in read_ranges(sorted(found))]
 
 
+def _sorted_blocks(directory: DataFrame) -> list[tuple]:
+    return sorted(tuple(r) for r in directory.select("first_key", "first_record", "path", "offset", "length").collect())
+
+
+def lookup_many(spark: SparkSession, path: str, wanted: DataFrame, max_blocks: int = 500_000) -> DataFrame:
+    """Index entries of the captures ``key, record`` that are asked for.
+
+    The wanted captures are sorted; each task finds the blocks of its run of
+    them by bisection of the directory and reads each block once.  The directory
+    is broadcast in segments of at most ``max_blocks`` blocks, of which each
+    serves the captures between its first and the first of the next.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    directory = spark.read.parquet(f"{path}/directory")
+    fences = _fences(directory, max_blocks)
+    at = F.struct("key", "record")
+    asked = materialize(wanted.select("key", "record").distinct(), "wanted")
+    asked = asked.repartitionByRange(parts, "key", "record").sortWithinPartitions("key", "record")
+    out = None
+    for low, high in zip(fences, [*fences[1:], None], strict=True):
+        block = F.struct(F.col("first_key").alias("key"), F.col("first_record").alias("record"))
+        edge = lambda f: F.struct(F.lit(f[0]).alias("key"), F.lit(f[1]).alias("record"))
+        # Captures of one id and url may begin in the block before the first that names them.
+        segment = directory.where(block < edge(high)) if high else directory
+        mine = asked.where(at < edge(high)) if high else asked
+        if low != fences[0]:
+            segment, mine = segment.where(block >= edge(low)), mine.where(at >= edge(low))
+        sent = spark.sparkContext.broadcast(_sorted_blocks(segment))
+        found = mine.mapInArrow(_bisect_blocks(sent), ENTRY)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], ENTRY)
+
+
+def _fences(directory: DataFrame, max_blocks: int) -> list[tuple[str, str]]:
+    """First captures of the segments of the directory."""
+    total = directory.count()
+    if not total:
+        return []
+    if total <= max_blocks:
+        return [tuple(directory.agg(F.min(F.struct("first_key", "first_record")).alias("m")).first()["m"])]
+    segments = -(-total // (max_blocks // 2))
+    rows = directory.select("first_key", "first_record").repartitionByRange(segments, "first_key", "first_record")
+    return sorted({tuple(r["m"]) for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("first_key", "first_record")).alias("m")).collect()})
+
+
+def _bisect_blocks(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        blocks = sent.value
+        firsts = [b[:2] for b in blocks]
+        held: dict[int, dict[tuple, list]] = {}
+
+        def entries_of(at: int) -> dict[tuple, list]:
+            if at not in held:
+                for old in [k for k in held if k < at - 1]:
+                    del held[old]  # the captures ascend
+                mine: dict[tuple, list] = {}
+                for line in next(read_ranges([blocks[at][2:]])).decode().split("\n"):
+                    entry = json.loads(line)
+                    mine.setdefault((entry[0], entry[1]), []).append(tuple(entry))
+                held[at] = mine
+            return held[at]
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for wanted in zip(batch["key"].to_pylist(), batch["record"].to_pylist(), strict=True):
+                # A capture may stand in the block before the first that begins with it, and in all that do.
+                for at in range(max(0, bisect.bisect_left(firsts, wanted) - 1), bisect.bisect_right(firsts, wanted)):
+                    rows += entries_of(at).get(wanted, ())
+                    if len(rows) >= 10_000:
+                        yield _batch(rows, types, ENTRIES)
+                        rows = []
+            yield _batch(rows, types, ENTRIES)
+
+    return run
+
+
 def _block_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ranges = list(zip(*[batch[c].to_pylist() for c in ("path", "offset", "length")], strict=True))
@@ -311,11 +416,13 @@ def _read_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
 
 
+READ = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+
+
 def read_captures(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """Every capture whose key begins with ``prefix``, read through the index.
 
-    Blocks that cannot hold such a key are skipped by the directory.  The
-    ranges are sorted by file and offset before the records are read.
+    Blocks that cannot hold such a key are skipped by the directory.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     directory = spark.read.parquet(f"{path}/directory")
@@ -323,17 +430,29 @@ def read_captures(spark: SparkSession, path: str, prefix: str = "") -> DataFrame
         last = directory.where(F.col("first_key") <= prefix).agg(F.max("first_key")).first()[0]
         directory = directory.where((F.col("first_key") < prefix + "\U0010ffff") & (F.col("first_key") >= (last or "")))
     entries = directory.repartition(parts, "path", "offset").mapInArrow(_block_entries, ENTRY)
-    if prefix:
-        entries = entries.where(F.col("key").startswith(prefix))
-    ranges = entries.select("path", "offset", "length").repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset")
-    return ranges.mapInArrow(_read_records, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return read_entries(entries.where(F.col("key").startswith(prefix)) if prefix else entries)
+
+
+def read_entries(entries: DataFrame) -> DataFrame:
+    """The records of index entries; their ranges are sorted by file and offset before they are read."""
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialize(entries.select("path", "offset", "length"), "ranges")  # range sorting reads them twice
+    return ranges.repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(_read_records, READ)
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        urls = [quote(u, safe="".join(chr(c) for c in range(33, 127))) if u is not None else None for u in batch["url"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in urls], pa.string()), pa.array([urn(i) for i in batch["id"].to_pylist()], pa.string())], ["key", "record"])
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
-    """Write the pages into archives, index these, and read all captures back."""
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
+    """Write the pages into archives, index these, and look every page up again."""
     spark = pages.sparkSession
     base = scratch_path(spark, "warc")
-    write_archives(pages, f"{base}/archives", id_col=id_col, **options)
+    write_archives(pages, f"{base}/archives", id_col=id_col, url_col=url_col, **options)
     build_index(spark, f"{base}/archives", f"{base}/index")
+    wanted = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).mapInArrow(_wanted, "key string, record string")
+    found = read_entries(lookup_many(spark, f"{base}/index", wanted))
     kind = pages.schema[id_col].dataType
-    return read_captures(spark, f"{base}/index").select(F.col("page_id").cast(kind).alias(id_col), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return found.select(F.col("page_id").cast(kind).alias(id_col), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
