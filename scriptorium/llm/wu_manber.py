@@ -115,9 +115,20 @@ class Searcher:
         n, stream = len(ids), self.stream
         for m, block, suffix, mask, shift, starts, places in self.groups:
             end = m
+            one, two = _MIX[:2]
             while end <= n:
-                step = shift[_hash(ids[end - block : end], mask)]
-                if step:
+                last = ids[end - 1]
+                if not last:  # in no item: no window holds this place
+                    end += m
+                    continue
+                if block == 1:
+                    code = last * one
+                elif before := ids[end - 2]:
+                    code = before * one + last * two
+                else:
+                    end += m - 1
+                    continue
+                if step := shift[(code ^ (code >> 15)) & mask]:
                     end += step
                     continue
                 at = _hash(ids[end - suffix : end], mask)
