@@ -21,7 +21,9 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(read_table(spark, sf_dir, "documents"))
+    """The numbers of the removed lines, from 0, are joined by commas."""
+    out = line_dedup.dedup_report(read_table(spark, sf_dir, "documents"))
+    return out.withColumn("removed_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ","))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,31 @@ SELECT doc_id, size, source_size, target, CAST(floor(off + rate * rank) - floor(
 """
 
 
+OP3 = r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS k, ls[i] AS line FROM t, unnest(range(1, len(ls) + 1)) AS u(i) WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
+d AS (SELECT line, min((doc_id, k)) AS place FROM l GROUP BY line),
+s AS (SELECT row_number() OVER (ORDER BY place) AS sid, line, place, list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')) AS w FROM d),
+e AS (SELECT sid, len(w) AS n, unnest(w) AS x FROM s),
+later AS (SELECT DISTINCT b FROM (SELECT a.sid AS a, b.sid AS b, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.sid < b.sid
+          WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY ALL) WHERE 100 * o >= 75 * (na + nb - o)),
+g AS (SELECT l.doc_id, list(k ORDER BY k) AS ks FROM l JOIN s USING (line) WHERE sid IN (SELECT b FROM later) OR (doc_id, k) <> place GROUP BY l.doc_id)
+SELECT t.doc_id, len(coalesce(ls, ['']))::BIGINT AS n_lines, coalesce(len(ks), 0)::BIGINT AS n_removed, coalesce(array_to_string(ks, ','), '') AS removed_lines FROM t LEFT JOIN g USING (doc_id)
+"""
+
+OP10 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACE_WORD}') AS w FROM documents),
+t AS (SELECT row_number() OVER () AS sid, w, min(doc_id) AS first FROM d WHERE len(w) > 0 GROUP BY w),
+e AS (SELECT DISTINCT sid, array_to_string(w[i : i + 4], ' ') AS x FROM t, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i)),
+n AS (SELECT sid, count(*) AS n FROM e GROUP BY sid),
+p AS (SELECT a.sid AS a, b.sid AS b, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.sid <> b.sid GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n na ON na.sid = a JOIN n nb ON nb.sid = b WHERE 100 * o >= 75 * (na.n + nb.n - o)),
+reach(sid, other) AS (SELECT sid, sid FROM t UNION SELECT reach.sid, links.b FROM reach JOIN links ON reach.other = links.a),
+c AS (SELECT reach.sid, min(t.first) AS component FROM reach JOIN t ON t.sid = reach.other GROUP BY reach.sid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id FROM d LEFT JOIN t USING (w) LEFT JOIN n USING (sid) LEFT JOIN c USING (sid)
+"""
+
+
 def _regex(nodes: list) -> str:
     """A template as a regular expression over words that each end in a space."""
     out = ""
@@ -107,4 +132,4 @@ FROM x
 
 OP9 = _op9()
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op4_decontamination": OP4, "op6_quality_rules": OP6, "op7_source_mixing": OP7, "op9_license_scan": OP9}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op3_line_dedup": OP3, "op4_decontamination": OP4, "op6_quality_rules": OP6, "op7_source_mixing": OP7, "op9_license_scan": OP9, "op10_ngram_join": OP10}

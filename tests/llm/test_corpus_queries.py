@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 
 import pytest
 from compare import same
+from pyspark.sql import functions as F
 
 from scriptorium.llm.queries import QUERIES
+from scriptorium.llm.shared import held_out
 from scriptorium.llm.sql import ORACLE_SQL
 
 
@@ -54,15 +56,22 @@ def brute_components(rows):
     return sorted((k, len(sets[i]), least[find(i)]) for i, (k, _) in enumerate(rows))
 
 
-def brute_lines(rows, min_words=5):
-    lines = [(k, i, shingles(x)) for k, t in sorted(rows) for i, x in enumerate((t or "").split("\n")) if len((x or "").split()) >= min_words]
-    first = list(dict.fromkeys(s for _, _, s in lines))
-    later = {first[b] for _, b in similar_pairs(first)}
+def line_words(line):
+    import re
+
+    return frozenset(w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w)
+
+
+def brute_lines(rows):
+    """Lines that go, by document: tokens are the distinct words of a line."""
+    lines = [(k, i, x) for k, t in sorted(rows) for i, x in enumerate((t or "").split("\n")) if line_words(x)]
+    first = list(dict.fromkeys(x for _, _, x in lines))
+    later = {first[b] for _, b in similar_pairs([line_words(x) for x in first])}
     seen, gone = set(), defaultdict(list)
-    for k, i, s in lines:
-        if s in seen or s in later:
+    for k, i, x in lines:
+        if x in seen or x in later:
             gone[k].append(i)
-        seen.add(s)
+        seen.add(x)
     return gone
 
 
@@ -78,16 +87,21 @@ def test_line_dedup_is_brute_force(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op3_line_dedup"](spark, sf).collect()}
     assert len(got) == len(rows)
     for k, t in rows:
-        assert (got[k].n_lines, list(got[k].removed_lines)) == (len(t.split("\n")), want.get(k, []))
+        assert (got[k].n_lines, got[k].removed_lines) == (len(t.split("\n")), ",".join(map(str, want.get(k, []))))
 
 
-def test_toxicity_scores(spark, sf):
+def test_toxicity_scores(spark):
+    """Held-out rows of sf0.01: toxic ones are caught, clean ones are left alone."""
+    sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = QUERIES["op8_toxicity"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
-    clean = [r for r in rows if labels.get(r.doc_id) == 0]
-    assert sum(r.predicted for r in clean) <= 0.05 * len(clean)
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    toxic, clean = [r for r in held if labels[r.doc_id]], [r for r in held if not labels[r.doc_id]]
+    better = sum((a.score > b.score) + (a.score == b.score) / 2 for a in toxic for b in clean)
+    assert better >= 0.9 * len(toxic) * len(clean) and sum(r.predicted for r in clean) <= 0.03 * len(clean)
+    assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
 
 
 def test_quality_classifier_tells_labels_apart(spark, sf):
@@ -99,6 +113,18 @@ def test_quality_classifier_tells_labels_apart(spark, sf):
     assert sum(r.kept for r in rows if labels[r.doc_id] == 1) >= 0.97 * len(good)
 
 
+def test_secrets_on_held_out_documents(spark):
+    """Tokens that stand in documents which no training passage comes from."""
+    import re
+
+    sf = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").where(held_out(F.col("doc_id"))).collect()}
+    planted = {(k, *m.span(1)) for k, t in docs.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    found = {(r.doc_id, f.start, f.end) for r in QUERIES["op5_secret_scan"](spark, sf).where(held_out(F.col("doc_id"))).collect() for f in r.findings}
+    assert len(planted) >= 30 and len(planted & found) >= 0.95 * len(planted)
+    assert len(found - planted) <= 0.05 * len(planted)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
@@ -110,4 +136,5 @@ def test_pipeline(spark, sf):
     assert max(Counter(r.doc_id for r in rows).values()) <= 3
     texts = {r.doc_id: r.text for r in rows}
     assert all(set(t.split("\n")) <= set(docs[k].text.split("\n")) for k, t in texts.items())
+    assert all(r.n_chars == len(r.text) for r in rows) and all(t.strip() or not docs[k].text.strip() for k, t in texts.items())
     assert all(a == b for _, a, b in brute_components(sorted(texts.items())))
