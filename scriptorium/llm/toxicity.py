@@ -92,13 +92,17 @@ class BlockMaxIndex:
     matrix product of some documents with them gives it.
     """
 
-    def __init__(self, n_terms: int, vectors: Sequence[tuple[np.ndarray, np.ndarray]]):
-        self.size = len(vectors)
-        self.blocks = max(1, -(-self.size // BLOCK))
+    @classmethod
+    def of(cls, n_terms: int, vectors: Sequence[tuple[np.ndarray, np.ndarray]]) -> BlockMaxIndex:
         lengths = [len(v[0]) for v in vectors]
         term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = (np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)).astype(np.float32)
-        owner = np.repeat(np.arange(self.size, dtype=np.int32), lengths)
+        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        return cls(n_terms, len(vectors), np.repeat(np.arange(len(vectors), dtype=np.int32), lengths), term.astype(np.int32), weight.astype(np.float32))
+
+    def __init__(self, n_terms: int, size: int, owner: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        """``owner`` (ascending within a term), ``term`` and ``weight`` of every entry."""
+        self.size = size
+        self.blocks = max(1, -(-self.size // BLOCK))
         held = np.bincount(term, minlength=n_terms)
         common = np.argsort(-held, kind="stable")[:COMMON]
         common = common[held[common] >= max(1, SHARE * self.size)]
@@ -108,8 +112,9 @@ class BlockMaxIndex:
         full = self.column[term] >= 0
         self.columns[self.column[term[full]], owner[full]] = weight[full]
         term, owner, weight = term[~full], owner[~full], weight[~full]
-        order = np.argsort(term, kind="stable")
+        order = np.lexsort((owner, term))
         term, self.owner, self.weight = term[order], owner[order], weight[order]
+        del order, full, owner, weight
         block = self.owner // BLOCK
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
         self.cell_block = block[first].astype(np.int16 if self.blocks < 1 << 15 else np.int32)
@@ -262,33 +267,41 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     n1 = float(y.sum())
     n0 = len(y) - n1
     if not n0 or not n1:
-        return Model(Space(np.zeros(0, np.uint64), np.zeros(0), 1.0), BlockMaxIndex(0, []), [], [], 1.0 if n1 else 0.0, k, smooth)
+        return Model(Space(np.zeros(0, np.uint64), np.zeros(0), 1.0), BlockMaxIndex.of(0, []), [], [], 1.0 if n1 else 0.0, k, smooth)
+    names, rows = sample["id"].to_pylist(), sample["row"].to_numpy()
     owner, held, count = _flat(sample)
-    lengths = np.bincount(owner, minlength=len(y))
+    del sample  # the driver holds each of the large arrays no longer than it needs it
+    owner, tf = owner.astype(np.int32), (1 + np.log(count)).astype(np.float32)
+    del count
     terms, number = np.unique(held, return_inverse=True)
+    number = number.astype(np.int32)
+    del held
     with1 = np.bincount(number, y[owner], len(terms))
     with0 = np.bincount(number, minlength=len(terms)) - with1
     idf = np.log((1 + n0 + n1) / (1 + with0 + with1)) + 1
     space = Space(terms, idf * (1 + likelihood_ratio(with0, with1, n0, n1) / RATIO), float(np.log(1 + n0 + n1) + 1))
-    weight = (1 + np.log(count)) * space.weight[number]
-    weight /= np.sqrt(np.bincount(owner, weight**2, len(y)))[owner]
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    # Examples with the same heaviest term lie together, so that the bounds of blocks are close.
-    heaviest = np.full((len(y), 2), -1)
-    order = np.lexsort((number, -weight, owner))
-    for j in range(2):
-        some = lengths > j
-        heaviest[some, j] = number[order[starts[:-1][some] + j]]
-    place = np.lexsort((np.arange(len(y)), heaviest[:, 1], heaviest[:, 0]))
-    vectors = [(number[starts[i] : starts[i + 1]], weight[starts[i] : starts[i + 1]]) for i in place]
-    names = sample["id"].to_pylist()
-    model = Model(space, BlockMaxIndex(len(terms), vectors), y[place], [names[i] for i in place], n1 / (n0 + n1), k, smooth)
+    weight = tf * space.weight.astype(np.float32)[number]
+    del tf
+    weight /= np.sqrt(np.bincount(owner, weight.astype(np.float64) ** 2, len(y))).astype(np.float32)[owner]
+    place = _placed(owner, number, weight, len(y))
+    index = BlockMaxIndex(len(terms), len(y), np.argsort(place).astype(np.int32)[owner], number, weight)
+    model = Model(space, index, y[place], [names[i] for i in place], n1 / (n0 + n1), k, smooth)
     model.sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = sample["row"].to_numpy()[place]
-    model.xs, model.ys = calibration(table, model, rows)
+    model.xs, model.ys = calibration(table, model, rows[place])
     return model
 
 
+def _placed(owner: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Examples by their heaviest terms, so that like ones share blocks and their bounds are close."""
+    starts = np.searchsorted(owner, np.arange(n + 1))
+    heaviest = np.full((n, 2), -1)
+    for i in range(n):
+        mine = slice(starts[i], starts[i + 1])
+        top = np.lexsort((number[mine], -weight[mine]))[:2]
+        heaviest[i, : len(top)] = number[mine][top]
+    return np.lexsort((np.arange(n), heaviest[:, 1], heaviest[:, 0]))
+
+
 def calibration(sample: DataFrame, model: Model, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The isotonic fit of every example's vote without itself, voted by the
     executors; ``rows`` has the row of the sample of each example."""

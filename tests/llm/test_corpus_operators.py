@@ -170,7 +170,7 @@ def test_block_max_index_is_exact():
         row[ids] = w
     for common in (0, 12, 512):
         toxicity.COMMON, before = common, toxicity.COMMON
-        index = toxicity.BlockMaxIndex(40, vectors)
+        index = toxicity.BlockMaxIndex.of(40, vectors)
         toxicity.COMMON = before
         asked = list(range(0, 300, 7))
         for i, (ids, cosines) in zip(asked, index.nearest([vectors[i] for i in asked], 9), strict=True):
