@@ -29,16 +29,41 @@ from .wu_manber import WORD_BYTES
 # The phrases of the contract and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Short notices of public licences, with markup.
+# The wording of public licences and of their notices, with markup.
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] [[a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] [[b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_END = "this software is provided by {{whom:12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_CC = "licensed under [[a]] [[the]] creative commons"
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license [[,]] version 2 0",
+    "apache-2.0-text": "apache license version 2 0 january 2004 [[http www apache org licenses]] [[https www apache org licenses]] terms and conditions for use reproduction and distribution",
     "gpl-3.0": "licensed under the [[terms of the]] gnu general public license [[,]] [[as published by the free software foundation]] [[either]] version 3 [[or any later version]]",
     "gpl-2.0": "licensed under the [[terms of the]] gnu general public license [[,]] [[as published by the free software foundation]] [[either]] version 2 [[or any later version]]",
+    "gpl-3.0-notice": "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [[either]] version 3 [[of the license]]",
+    "gpl-2.0-notice": "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [[either]] version 2 [[of the license]]",
+    "lgpl-3.0-notice": "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation [[either]] version 3 [[of the license]]",
+    "lgpl-2.1-notice": "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation [[either]] version 2 1 [[of the license]]",
+    "agpl-3.0-notice": "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation [[either]] version 3 [[of the license]]",
     "mit-notice": "released under the [[terms of the]] mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this {{object:6}} and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "cc-by-nc-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0",
+    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of this {{object:6}} and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{holders:12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-2-clause": f"{_BSD} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD} [[3]] [[c]] neither the name of {{{{owner:12}}}} nor the names of {{{{its:4}}}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}",
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "epl-2.0-notice": "made available under the terms of the eclipse public license [[v]] [[version]] 2 0",
+    "epl-1.0-notice": "made available under the terms of the eclipse public license [[v]] [[version]] 1 0",
+    "bsl-1.0-notice": "distributed under the boost software license version 1 0",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "cc0-1.0": "to the extent possible under law {{who:12}} has waived all copyright and related or neighboring rights to",
+    "cc-by-4.0": f"{_CC} attribution 4 0 [[international]]",
+    "cc-by-sa-4.0": f"{_CC} attribution sharealike 4 0 [[international]]",
+    "cc-by-nd-4.0": f"{_CC} attribution noderivatives 4 0 [[international]]",
+    "cc-by-nc-4.0": "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0",
+    "cc-by-nc-4.0-name": f"{_CC} attribution noncommercial 4 0 [[international]]",
+    "cc-by-nc-sa-4.0": f"{_CC} attribution noncommercial sharealike 4 0 [[international]]",
+    "cc-by-nc-nd-4.0": f"{_CC} attribution noncommercial noderivatives 4 0 [[international]]",
 }
 
 _MARK = re.compile(r"\[\[|\]\]|\{\{\w+:\d+\}\}|[^\[\]{}]+")

@@ -306,13 +306,14 @@ def scan(docs: DataFrame, forest: Forest, keep: Sequence[str] | None = None, tex
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT.names]
     schema = T.StructType([docs.schema[c] for c in keep] + RESULT.fields)
     trees = forest.trees
+    beside = max(docs.columns, key=len) + "_path"  # no other column has this name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Forest.__new__(Forest)
         here.trees = trees
         for batch in batches:
             found, rows = [], []
-            for text, path in zip(batch[text_col], batch["_path"].to_pylist(), strict=True):
+            for text, path in zip(batch[text_col], batch[beside].to_pylist(), strict=True):
                 text = text.as_py() or ""
                 mine = candidates(text)
                 found.append(mine)
@@ -322,5 +323,5 @@ def scan(docs: DataFrame, forest: Forest, keep: Sequence[str] | None = None, tex
             made = [pa.array([len(x) for x in found], pa.int64()), pa.array([len(x) for x in findings], pa.int64()), pa.array(findings, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], *made], [*keep, *RESULT.names])
 
-    rows = docs.select(*dict.fromkeys([*keep, text_col]), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("_path"))
+    rows = docs.select(*dict.fromkeys([*keep, text_col]), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias(beside))
     return rows.mapInArrow(run, schema)

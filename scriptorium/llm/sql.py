@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, parse
+import re
+
+from .licenses import PHRASES, TEMPLATES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CHAR_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,22 +102,20 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id)
 """
 
 
-def _regex(nodes: list) -> str:
-    """A template as a regular expression over words that each end in a space."""
+def _regex(template: str) -> str:
+    """The markup as a regular expression over words that each end in a space."""
     out = ""
-    for node in nodes:
-        if isinstance(node, bytes):
-            out += node.decode() + " "
-        elif node[0] == "opt":
-            out += f"(?:{_regex(node[1])})?"
+    for mark, word in re.findall(r"(\[\[|\]\]|\{\{\w+:\d+\}\})|([a-z0-9]+)", template):
+        if mark.startswith("{"):
+            out += "(?:[^ ]+ ){0,%s}" % re.search(r":(\d+)", mark)[1]
         else:
-            out += "(?:[^ ]+ ){0,%d}" % node[1]
-    return out
+            out += {"[[": "(?:", "]]": ")?"}.get(mark, f"{word} ")
+    return out.replace("(?:)?", "")
 
 
 def _op9() -> str:
     places = " UNION ALL ".join(f"SELECT r, i, '{label}' AS label FROM w3 WHERE array_to_string(w[i : i + {len(p.split()) - 1}], ' ') = '{p}'" for p, label in PHRASES.items())
-    found = ", ".join(f"CASE WHEN regexp_matches(line, ' {_regex(parse(t))}') THEN '{name}' END" for name, t in TEMPLATES.items())
+    found = ", ".join(f"CASE WHEN regexp_matches(line, ' {_regex(t)}') THEN '{name}' END" for name, t in TEMPLATES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_CHAR_WORD}') AS w FROM documents),
 w3 AS (SELECT r, i, w FROM d, unnest(range(1, len(w) + 1)) AS t(i) WHERE w[i] IN ({", ".join(sorted({repr(p.split()[0]) for p in PHRASES}))})),

@@ -340,15 +340,17 @@ def lookup_many(spark: SparkSession, path: str, wanted: DataFrame, max_blocks: i
     asked = materialize(wanted.select("key", "record").distinct(), "wanted")
     asked = asked.repartitionByRange(parts, "key", "record").sortWithinPartitions("key", "record")
     out = None
-    for low, high in zip(fences, [*fences[1:], None], strict=True):
+    for low, high in zip(fences, [*fences[1:], None], strict=False):
         block = F.struct(F.col("first_key").alias("key"), F.col("first_record").alias("record"))
         edge = lambda f: F.struct(F.lit(f[0]).alias("key"), F.lit(f[1]).alias("record"))
-        # Captures of one id and url may begin in the block before the first that names them.
         segment = directory.where(block < edge(high)) if high else directory
         mine = asked.where(at < edge(high)) if high else asked
-        if low != fences[0]:
+        before = []
+        if low != fences[0]:  # the captures of the first id may begin in the block before
+            last = directory.where(block < edge(low)).agg(F.max(F.struct("first_key", "first_record", "path", "offset", "length")).alias("m")).first()["m"]
+            before = [tuple(last)]
             segment, mine = segment.where(block >= edge(low)), mine.where(at >= edge(low))
-        sent = spark.sparkContext.broadcast(_sorted_blocks(segment))
+        sent = spark.sparkContext.broadcast(before + _sorted_blocks(segment))
         found = mine.mapInArrow(_bisect_blocks(sent), ENTRY)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], ENTRY)

@@ -24,7 +24,8 @@ def odd_rows():
 
 def test_joins_on_odd_rows(spark):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(docs_of(spark, odd_rows())).collect()}
-    n = len({tuple(odd_rows()[5][1].split()[i : i + 5]) for i in range(29_996)})
+    words = odd_rows()[5][1].split()
+    n = len({tuple(words[i : i + 5]) for i in range(29_996)})
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (7, 1, 4), (5, n, 5), (6, n + 1, 5), (None, 4, None)} == got
     assert ngram_join.join_components(docs_of(spark, [])).count() == 0
     kept = ngram_join.keep_one(docs_of(spark, odd_rows()))
