@@ -19,9 +19,9 @@ def plain(v):
     return v
 
 
-def same(df, sql, sf_dir):
+def same(df, sql, sf_dir, tables=TABLES):
     con = duckdb.connect()
-    for t in TABLES:
+    for t in tables:
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     cursor = con.execute(sql)
