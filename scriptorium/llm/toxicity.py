@@ -254,7 +254,7 @@ def likelihood_ratio(with0: np.ndarray, with1: np.ndarray, n0: float, n1: float)
     return np.maximum(0, 2 * (_log_part(with1, n1, with1 / n1) + _log_part(with0, n0, with0 / n0) - _log_part(with1, n1, both) - _log_part(with0, n0, both)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = 10_000, k: int = 16, smooth: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = 5_000, k: int = 16, smooth: float = 0.05) -> Model:
     """Fit on at most ``max_examples`` labelled rows that are not held out."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_examples)
