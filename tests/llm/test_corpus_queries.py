@@ -137,4 +137,4 @@ def test_pipeline(spark, sf):
     texts = {r.doc_id: r.text for r in rows}
     assert all(set(t.split("\n")) <= set(docs[k].text.split("\n")) for k, t in texts.items())
     assert all(r.n_chars == len(r.text) for r in rows) and all(t.strip() or not docs[k].text.strip() for k, t in texts.items())
-    assert all(a == b for _, a, b in brute_components(sorted(texts.items())))
+    assert all(k == component for k, _, component in brute_components(sorted(texts.items())))
