@@ -1,4 +1,9 @@
-"""Connected components of an edge table, by alternating star steps."""
+"""Connected components of an edge table, by alternating star steps.
+
+Defined results: edges from a node to itself and repeated edges add nothing;
+nodes without another edge are left out; null ends are ignored by the joins;
+no edges give no nodes.
+"""
 
 from __future__ import annotations
 

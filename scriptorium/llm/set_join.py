@@ -21,6 +21,10 @@ Steps, each distributed:
 
 Any total order gives right results in 1 and 2, so the sketch only affects
 speed.  Sets are compared by 64-bit hashes of their shingles.
+
+Defined results: null and empty texts have the empty set, which is in no list;
+equal sets are one set with several members; of equal first places the smaller
+id counts, null ids last; an empty table gives empty tables.
 """
 
 from __future__ import annotations

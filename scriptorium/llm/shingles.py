@@ -4,6 +4,10 @@ A text, or each of its lines, becomes the set of its distinct runs of five
 words.  The words are those of ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
 Work is done for a chunk of texts together: word hashes come from one running
 sum over the bytes, shingle hashes from five shifted sums over the words.
+
+Defined results: empty texts and texts without a word have no hash; a text of
+any length is worked on whole; repeated words and shingles of a text count once
+in its set; no texts give no sets.
 """
 
 from __future__ import annotations
