@@ -98,7 +98,7 @@ def register_provider(name: str, build: Callable[[], Generator]) -> None:
 
 
 def provider_name(name: str | None = None) -> str:
-    """The argument, else the environment variable, else ``ollama``."""
+    """The argument, else the environment variable, else ``ollama`` (a fixed order)."""
     chosen = (name or os.environ.get(PROVIDER_VARIABLE) or "ollama").strip().lower()
     if chosen not in _providers:
         raise ValueError(f"unknown provider {chosen!r}; known are {', '.join(sorted(_providers))}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The names and types of the fields that files of this data model have.
 SECTION = "struct<head:string,n:string,text:string>"
 PAPER = "arxiv_id string, tei string"
 CHUNK = "arxiv_id string, chunk_idx int, text string, token_count int"
