@@ -16,8 +16,8 @@ def test_matches_sql(spark, sf, name):
     same(QUERIES[name](spark, sf), ORACLE_SQL[name], sf)
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def shingles(text, width=5):
