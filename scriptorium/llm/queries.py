@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, licenses, line_dedup, mixing, ngram_join, secrets_scan, site_quality, token_counts, toxicity, warc, wu_manber
+from . import cascade, centroids, licenses, line_dedup, mixing, ngram_join, secrets_scan, site_quality, token_counts, toxicity, warc, wu_manber
 from .shared import held_out, read_table
 
 
@@ -66,4 +66,8 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048, keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op3_line_dedup, op4_decontamination, op5_secret_scan, op6_quality_rules, op7_source_mixing, op8_toxicity, op9_license_scan, op10_ngram_join, op11_token_counts)}
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op3_line_dedup, op4_decontamination, op5_secret_scan, op6_quality_rules, op7_source_mixing, op8_toxicity, op9_license_scan, op10_ngram_join, op11_token_counts, op13_centroid_clustering)}

@@ -132,4 +132,26 @@ FROM x
 
 OP9 = _op9()
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op3_line_dedup": OP3, "op4_decontamination": OP4, "op6_quality_rules": OP6, "op7_source_mixing": OP7, "op9_license_scan": OP9, "op10_ngram_join": OP10}
+def _op13(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Every distance is taken in every round."""
+    steps = []
+    for i in range(rounds + 1):
+        # The square of every distance, and the cluster with the smallest (then the smallest number).
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (SELECT v.r, m.c, list_sum(list_transform(list_zip(v.v, m.m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, m{i} m) GROUP BY r)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT best.c AS c, j, sum(v.v[j])::BIGINT AS s, count(*)::BIGINT AS n FROM a{i} JOIN v USING (r), unnest(range(1, {dims + 1})) AS t(j) GROUP BY ALL)")
+            steps.append(f"m{i + 1} AS MATERIALIZED (SELECT m.c, coalesce(any_value(x.m), any_value(m.m)) AS m FROM m{i} m LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM s{i} GROUP BY c) x USING (c) GROUP BY m.c)")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v AS m FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v) ORDER BY h NULLS LAST, v LIMIT {k}),
+{", ".join(steps)}
+SELECT vec_id, best.c::INT AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN m{rounds} m ON m.c = best.c
+"""
+
+
+OP13 = _op13()
+
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1, "op3_line_dedup": OP3, "op4_decontamination": OP4, "op6_quality_rules": OP6, "op7_source_mixing": OP7, "op9_license_scan": OP9, "op10_ngram_join": OP10, "op13_centroid_clustering": OP13}
