@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, centroids, licenses, line_dedup, mixing, ngram_join, secrets_scan, site_quality, token_counts, toxicity, warc, wu_manber
+from . import cascade, centroids, licenses, line_dedup, mixing, ngram_join, periodic_runs, secrets_scan, site_quality, token_counts, toxicity, warc, wu_manber
 from .shared import held_out, read_table
 
 
@@ -66,8 +66,20 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048, keep=["doc_id"])
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_periods(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs, least=24, repeats=3, keep=["doc_id"])
+    best = periodic_runs.strongest(F.col("runs"))
+    found = found.withColumn("best", best)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[f].cast("string") for f in ("start", "length", "period")]))
+    report = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    exponent = F.call_function("div", 1000 * F.col("best.length"), F.col("best.period"))
+    digests = [F.sha2(report, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), *digests)
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op3_line_dedup, op4_decontamination, op5_secret_scan, op6_quality_rules, op7_source_mixing, op8_toxicity, op9_license_scan, op10_ngram_join, op11_token_counts, op13_centroid_clustering)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_classifier, op3_line_dedup, op4_decontamination, op5_secret_scan, op6_quality_rules, op7_source_mixing, op8_toxicity, op9_license_scan, op10_ngram_join, op11_token_counts, op12_periodic_runs, op13_centroid_clustering)}
