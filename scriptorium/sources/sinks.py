@@ -1,6 +1,7 @@
-"""Writers.  Spark's commit protocol makes each of them atomic: a reader sees
-all of a write or nothing, which is what temporary files and renames, trimming
-and alignment checks are for elsewhere."""
+"""Writers.  What is added goes through Spark's commit protocol.  What is replaced
+as a whole, or has to change together (manifest, graph, index), is a snapshot:
+a job that fails leaves the version before it (see ``snapshots``).  Rebuilding
+JSON lines, pages and TEI overwrites the folder first and is not atomic."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .snapshots import Snapshots
 
 
 def mode(rebuild: bool) -> str:
@@ -20,12 +22,24 @@ def write_jsonl(rows: DataFrame, path: str, rebuild: bool = False) -> None:
 
 def write_index(rows: DataFrame, path: str, rebuild: bool = False) -> None:
     """Chunks with their vectors in one row, so that they cannot come apart."""
-    rows.write.mode(mode(rebuild)).parquet(path)
+    rows = {"index": rows}
+    Snapshots(rows["index"].sparkSession, path).publish(**{"replace" if rebuild else "append": rows})
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return Snapshots(spark, path).read("index")
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    """Both tables in one commit: no reader sees the nodes of one graph with the edges of another."""
+    Snapshots(nodes.sparkSession, path).publish(replace={"nodes": nodes, "edges": edges})
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one version."""
+    graph = Snapshots(spark, path)
+    number = graph.version().number
+    return graph.read("nodes", number), graph.read("edges", number)
 
 
 def write_pages(pages: DataFrame, path: str, id_col: str = "arxiv_id", text_col: str = "markdown") -> None:
@@ -45,17 +59,22 @@ def read_written_tei(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(entries: DataFrame, path: str, key: str = "arxiv_id") -> None:
-    """A manifest as JSON lines ``{"id": ..., "entry": {...}}``, replaced as a whole.
+    """A manifest as JSON lines ``{"id": ..., "entry": {...}}``, replaced as a whole
+    in one commit: a job that fails leaves the manifest as it was.
 
     One line for each paper and not one object for all, so that no task holds
     the whole manifest.
     """
     rest = [c for c in entries.columns if c != key]
-    entries.select(F.col(key).alias("id"), F.struct(*rest).alias("entry")).write.mode("overwrite").json(path)
+    rows = entries.select(F.col(key).alias("id"), F.struct(*rest).alias("entry"))
+    Snapshots(entries.sparkSession, path, "json").publish(replace={"manifest": rows})
 
 
 def read_manifest(spark: SparkSession, path: str, entry_schema: str, key: str = "arxiv_id") -> DataFrame:
-    return spark.read.schema(f"id string, entry {entry_schema}").json(path).select(F.col("id").alias(key), "entry.*")
+    manifest = Snapshots(spark, path, "json")
+    folders = manifest.version().folders.get("manifest", [])
+    rows = spark.read.schema(f"id string, entry {entry_schema}").json([f"{manifest.root}/{f}" for f in folders])
+    return rows.select(F.col("id").alias(key), "entry.*")
 
 
 def write_summary(one_row: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@ import json
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium import schemas
 from scriptorium.operators.incremental import NOT_FOUND
@@ -102,7 +103,20 @@ def test_sinks(spark, tmp_path):
     sinks.write_summary(rows.groupBy().count(), str(tmp_path / "s"))
     sinks.write_graph(rows, rows, str(tmp_path / "g"))
     sinks.write_index(rows, str(tmp_path / "i"))
-    assert spark.read.parquet(str(tmp_path / "g/nodes")).count() == 2
+    sinks.write_index(rows, str(tmp_path / "i"))
+    assert [t.count() for t in sinks.read_graph(spark, str(tmp_path / "g"))] == [2, 2]
+    assert sinks.read_index(spark, str(tmp_path / "i")).count() == 4
+    sinks.write_index(rows, str(tmp_path / "i"), rebuild=True)
+    assert sinks.read_index(spark, str(tmp_path / "i")).count() == 2
+
+
+def test_a_manifest_outlives_a_failed_replacement(spark, tmp_path):
+    entry = "struct<grobid:string>"
+    sinks.write_manifest(spark.createDataFrame([(str(i), "ok") for i in range(5)], "arxiv_id string, grobid string"), str(tmp_path))
+    lost = spark.range(4).repartition(4).select(F.col("id").cast("string").alias("arxiv_id"), F.when(F.col("id") < 3, "ok").otherwise(F.raise_error(F.lit("lost"))).alias("grobid"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_manifest(lost, str(tmp_path))
+    assert sinks.read_manifest(spark, str(tmp_path), entry).count() == 5
 
 
 def test_stream_equals_batch_and_runs_once(spark, tmp_path):
