@@ -10,7 +10,7 @@ import corpus_pipeline
 from scriptorium.llm import line_dedup, shared, wu_manber
 
 #: Names that the operators use for their own columns.
-CLASHING = ("score", "predicted", "neighbours", "n_words", "hit_spans", "n_hit", "target", "copies", "taken", "tid", "gone", "sid", "component_id", "row", "had", "id", "key")
+CLASHING = ("score", "predicted", "neighbours", "n_words", "hit_spans", "n_hit", "target", "copies", "taken", "tid", "gone", "sid", "component_id", "row", "had", "id", "key", "_", "__", "a.b", "back`tick", "mark", "map", "np", "line", "words")
 
 
 def clashing(spark, rows):
