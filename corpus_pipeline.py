@@ -20,16 +20,22 @@ lines were removed, ``n_chars`` is the length of the text that is left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import line_dedup, mixing, ngram_join, shared, toxicity, wu_manber
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and the other columns as one, so that no name clashes."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"))
+    filler = "_".join(["_", *others]).replace("`", "")  # for a table of two columns; longer than any name, so none of them
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias(filler), *[quoted(c).alias(c) for c in others]).alias("row"))
 
 
 def unpacked(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
@@ -58,7 +64,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones."""
-    return ngram_join.keep_one(docs)
+    return unpacked(ngram_join.keep_one(packed(docs)), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
