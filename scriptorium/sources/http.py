@@ -1,8 +1,14 @@
 """Fetching over HTTP from executor tasks, with throttle and backoff.
 
 A fetcher is any callable ``(url) -> (status, body)`` that raises ``OSError``
-on network failure; tests pass scripted ones.  A rate limit holds for each
-task, so the number of partitions bounds the load: ``coalesce`` to divide it.
+on network failure; tests pass scripted ones.
+
+A rate limit holds for the whole run.  Requests are dealt to a fixed number of
+lanes, one task each, and each lane has its share of the limit: with spacing s
+and n lanes a lane asks every ``n * s`` seconds, beginning at a time of its own.
+However many lanes run at once, no more than one request in s seconds leaves
+on average, and at most n at once.  A task that is done again waits its share
+before it asks.  Repeated attempts count as requests.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from dataclasses import dataclass
 from urllib import error, request
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,50 +80,74 @@ def url_fetcher(timeout: float = 30.0, headers: dict[str, str] | None = None) ->
     return fetch
 
 
-def fetch_one(url: str, fetch: Fetcher, policy: Policy, sleep: Callable[[float], None] = time.sleep) -> tuple[str, bytes | None, str | None]:
-    """``(status, body, error)``: ``ok``, ``missing`` (404) or ``failed``.
-
-    Too many requests and network failures wait and try again; any other bad
-    answer fails at once.
-    """
-    wait, problem = policy.wait, "no attempt"
+class Pace:
+    """The share of a run-wide rate limit that one of ``lanes`` lanes has."""
+
+    def __init__(self, spacing: float, lane: int = 0, lanes: int = 1, again: bool = False, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.share, self.clock, self.sleep = spacing * max(1, lanes), clock, sleep
+        # Lanes begin one after the other; what an earlier attempt of the task has just asked for counts.
+        self.next = clock() + spacing * (lane % max(1, lanes)) + (self.share if again else 0.0)
+
+    def __call__(self) -> None:
+        """Wait until the lane may ask."""
+        now = self.clock()
+        if self.next > now:
+            self.sleep(self.next - now)
+        self.next = max(now, self.next) + self.share
+
+
+def attempt_one(url: str, fetch: Fetcher, policy: Policy) -> tuple[str, bytes | None, str | None]:
+    """``(status, body, error)`` of one attempt: ``ok``, ``missing`` (404),
+    ``failed`` for good, or ``waiting`` where it is worth another attempt (too
+    many requests, network failures)."""
+    try:
+        code, body = fetch(url)
+    except OSError as e:
+        return "waiting", None, str(e)
+    if code == 429:
+        return "waiting", None, "too many requests"
+    if code == 404:
+        return "missing", None, None
+    if code >= 400:
+        return "failed", None, f"status {code}"
+    if policy.magic and not body.startswith(policy.magic):
+        return "failed", None, "not the expected format"
+    return "ok", body, None
+
+
+def wait_after(attempts: int, policy: Policy) -> float:
+    """Seconds to wait after so many attempts."""
+    return min(policy.most, policy.wait * 2 ** (attempts - 1))
+
+
+def fetch_one(url: str, fetch: Fetcher, policy: Policy, sleep: Callable[[float], None] = time.sleep, pace: Callable[[], None] = lambda: None) -> tuple[str, bytes | None, str | None]:
+    """``(status, body, error)``: ``ok``, ``missing`` (404) or ``failed``."""
+    problem = "no attempt"
     for attempt in range(policy.attempts):
         if attempt:
-            sleep(wait)
-            wait = min(policy.most, wait * 2)
-        try:
-            code, body = fetch(url)
-        except OSError as e:
-            problem = str(e)
-            continue
-        if code == 429:
-            problem = "too many requests"
-        elif code == 404:
-            return "missing", None, None
-        elif code >= 400:
-            return "failed", None, f"status {code}"
-        elif policy.magic and not body.startswith(policy.magic):
-            return "failed", None, "not the expected format"
-        else:
-            return "ok", body, None
+            sleep(wait_after(attempt, policy))
+        pace()
+        status, body, problem = attempt_one(url, fetch, policy)
+        if status != "waiting":
+            return status, body, problem
     return "failed", None, problem
 
 
-def fetched(requests: DataFrame, build: Callable[[], Fetcher], policy: Policy = METADATA, id_col: str = "id", url_col: str = "url") -> DataFrame:
-    """``id, status, body, error`` for rows ``id, url``."""
+def fetched(requests: DataFrame, build: Callable[[], Fetcher], policy: Policy = METADATA, id_col: str = "id", url_col: str = "url", lanes: int = 8) -> DataFrame:
+    """``id, status, body, error`` for rows ``id, url``, no faster together than the policy allows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fetch, last = build(), 0.0
+        task = TaskContext.get()
+        pace = Pace(policy.spacing, task.partitionId(), lanes, task.attemptNumber() > 0)
+        fetch = build()
         for batch in batches:
-            rows = []
-            for key, url in zip(batch["id"], batch["url"], strict=True):
-                time.sleep(max(0.0, last + policy.spacing - time.monotonic()))
-                last = time.monotonic()
-                rows.append((key, *fetch_one(url, fetch, policy)))
+            rows = [(key, *fetch_one(url, fetch, policy, pace=pace)) for key, url in zip(batch["id"], batch["url"], strict=True)]
             yield pd.DataFrame(rows, columns=["id", "status", "body", "error"])
 
     kind = requests.schema[id_col].dataType.simpleString()
-    return requests.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).mapInPandas(run, f"id {kind}, status string, body binary, error string")
+    # A stated number of partitions is kept by adaptive execution.
+    dealt = requests.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).repartition(lanes)
+    return dealt.mapInPandas(run, f"id {kind}, status string, body binary, error string")
 
 
 Poster = Callable[[str, bytes], tuple[int, bytes]]
