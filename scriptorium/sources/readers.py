@@ -92,7 +92,7 @@ def extract_json_members(archive: str, out: str, suffixes: Mapping[str, str]) ->
     """Write the members of a ``.tar.gz`` that end in the given suffixes as
     ``<name>.json``; JSON lines become an array.  Returns entries by name.
 
-    Runs where the archive is; the results are read with Spark.
+    Runs on one machine, for a single small archive; ``archives`` reads any number in place.
     """
     counts: dict[str, int] = {}
     os.makedirs(out, exist_ok=True)
