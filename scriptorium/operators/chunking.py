@@ -52,6 +52,19 @@ def chunk_offsets(docs: DataFrame, id_col: str, text_col: str, offsets: Column,
     return rows.select(id_col, order.alias("chunk_idx"), "text", "token_count")
 
 
+def chunk_spans(docs: DataFrame, id_col: str, text_col: str, windows: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """``id, chunk_idx, text, token_count`` for windows given by their borders
+    (``array<struct<s,e,n>>``), and the columns named in ``keep``.
+
+    The text is the original between the borders, stripped; blank windows are
+    dropped and do not use up an index.  All of it happens within the row: no shuffle.
+    """
+    rows = docs.select(id_col, *keep, F.col(text_col).alias("body"), windows.alias("w"))
+    piece = lambda w: F.struct(strip(F.substring("body", w["s"] + 1, w["e"] - w["s"])).alias("text"), w["n"].alias("token_count"))
+    pieces = F.filter(F.transform("w", piece), lambda p: p["text"] != "")
+    return rows.select(id_col, *keep, F.posexplode(pieces).alias("chunk_idx", "piece")).select(id_col, *keep, "chunk_idx", "piece.text", "piece.token_count")
+
+
 def full_text(title: Column, abstract: Column, sections: Column) -> Column:
     """Title, abstract and sections with blank lines between; placeholders left out."""
     bodies = F.transform(sections, lambda s: F.when(s["head"].isin("", NO_HEADING), s["text"]).otherwise(F.concat(s["head"], F.lit("\n"), s["text"])))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .functions import evaluation as ev
+from .functions import subwords
 from .functions import text as tx
 from .functions import vectors as vec
 from .functions.plugins import ExtractiveGenerator, HashedEmbedder, embed, offsets
@@ -413,6 +414,16 @@ def offset_windows(spark, d):
     return out.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "text", F.col("token_count").cast("long").alias("token_count"))
 
 
+@query
+def subword_windows(spark, d):
+    """Windows of 128 subword tokens that share 32, by a public tokenizer."""
+    import public_tokenizers
+
+    windows = subwords.subword_windows(spark, public_tokenizers.path("word_bpe_49k.json"), 128, 32)
+    out = chunking.chunk_spans(table(spark, d, "documents"), "doc_id", "text", windows(F.col("text")))
+    return out.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "text", F.col("token_count").cast("long").alias("token_count"))
+
+
 @query
 def question_rows(spark, d):
     """Question sets keyed by paper, made of conversations, one row a question."""
