@@ -144,7 +144,7 @@ def start_fetching(spark: SparkSession, source: str, target: str, checkpoint: st
             before_publish(number)
             settled = rows.where("status <> 'waiting'").select("id", "status", "body", "error")
             seen = rows.select("id", "status", "error", "attempt", F.lit(number).cast("long").alias("batch"))
-            if not rows.isEmpty():
+            if rows.count():  # of all partitions, so that the state of each is made even if the batch is known
                 Snapshots(spark, target).publish(append={"answers": settled, "attempts": seen}, batch=("fetch", number))
         finally:
             rows.unpersist()
@@ -154,6 +154,13 @@ def start_fetching(spark: SparkSession, source: str, target: str, checkpoint: st
     return made.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def idle(query: StreamingQuery) -> bool:
+    """Two batches in a row had no new rows.  The first batch of a run may be one of an earlier
+    run again; a later one without rows has seen all files, and what is left then are timers."""
+    last = query.recentProgress[-2:]
+    return len({p["batchId"] for p in last}) == 2 and not any(p["numInputRows"] for p in last)
+
+
 def waiting(spark: SparkSession, target: str) -> int:
     """Ids whose last attempt is to be repeated."""
     known = Snapshots(spark, target)
@@ -171,10 +178,7 @@ def run_fetching(spark: SparkSession, source: str, target: str, checkpoint: str,
         while time.monotonic() < ends:
             if query.exception():
                 raise query.exception()
-            # The first batch may be one of an earlier run again; a later one without new rows
-            # has seen all files, and what is left then are timers.
-            last = query.recentProgress[-2:]
-            if len({p["batchId"] for p in last}) == 2 and not any(p["numInputRows"] for p in last) and not waiting(spark, target):
+            if idle(query) and not waiting(spark, target):
                 return
             time.sleep(poll)
         raise TimeoutError(f"requests are still open after {timeout} seconds")
