@@ -113,25 +113,67 @@ def best_products(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarr
     return rows, at, out
 
 
-def covered_evidence(evidence: DataFrame, texts: DataFrame, needle: Column, haystack: Column, evidence_id: str, block: int = 200) -> DataFrame:
+def covered_evidence(evidence: DataFrame, texts: DataFrame, needle: Column, haystack: Column, evidence_id: str, shard_bytes: int = 4 << 20) -> DataFrame:
     """Ids of evidence that some text contains (both columns are match keys).
 
     A hit forces every inner word of the needle to be a whole word of the
     text, so the join is by one inner word (the longest) and then verified.
-    Needles of fewer than three words have no inner word; they are looked for
-    in every text, in blocks.
+    Needles of fewer than three words have no inner word; one automaton of all
+    of them goes over every text once (see :func:`contained`).
     """
     parts = F.split("needle", " ")
     longest = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     keys = evidence.select(F.col(evidence_id).alias("eid"), needle.alias("needle")).where("needle <> ''").withColumn("word", F.when(F.size(parts) > 2, longest))
     bodies = texts.select(haystack.alias("body")).withColumn("text_key", F.unhex(F.md5(F.col("body").cast("binary"))))
-    # Only digests and words are shuffled at first; a text follows once for each word that was asked for.
+    # Only digests and words are shuffled at first; a text follows once for each needle that asks for its word.
     words = bodies.select("text_key", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    asked = words.join(keys.where("word is not null"), "word").distinct()
-    found = bodies.dropDuplicates(["text_key"]).join(asked, "text_key").where(F.contains("body", F.col("needle"))).select("eid")
-    short = [(r["eid"], r["needle"]) for r in keys.where("word is null").toLocalIterator()]
-    for at in range(0, len(short), block):
-        asked = F.array(*[F.struct(F.lit(i).alias("eid"), F.lit(n).alias("needle")) for i, n in short[at : at + block]])
-        hits = bodies.select("body", F.explode(F.filter(asked, lambda a: F.contains(F.col("body"), a["needle"]))).alias("a"))
-        found = found.unionByName(hits.select("a.eid"))
-    return found.distinct().withColumnRenamed("eid", evidence_id)
+    asked = words.join(keys.where("word is not null"), "word").select("text_key", "eid", "needle").distinct()
+    found = bodies.join(asked, "text_key").where(F.contains("body", F.col("needle"))).select("eid")
+    short = keys.where("word is null")
+    hits = short.join(contained(short.select("needle"), bodies.select("body"), shard_bytes), "needle", "left_semi").select("eid")
+    return found.unionByName(hits).distinct().withColumnRenamed("eid", evidence_id)
+
+
+def contained(needles: DataFrame, texts: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
+    """The ``needle`` strings that some text contains.
+
+    The distinct needles go to the driver and out again as an Aho-Corasick
+    automaton, so one scan of the texts finds any number of them; needles of more
+    than ``shard_bytes`` characters together are taken in shards, a scan each.
+    Each task names a needle once.
+    """
+    spark = texts.sparkSession
+    out = spark.createDataFrame([], "needle string")
+    for shard in _shards((r[0] for r in needles.where("needle <> ''").distinct().toLocalIterator()), shard_bytes):
+        out = out.unionByName(texts.select(F.col(texts.columns[0]).alias("body")).mapInArrow(_search_for(spark.sparkContext.broadcast(shard)), "needle string"))
+    return out.distinct()
+
+
+def _shards(needles: Iterator[str], most: int) -> Iterator[list[str]]:
+    shard: list[str] = []
+    size = 0
+    for needle in needles:
+        if shard and size + len(needle) > most:
+            yield shard
+            shard, size = [], 0
+        shard.append(needle)
+        size += len(needle)
+    if shard:
+        yield shard
+
+
+def _search_for(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for needle in sent.value:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        known: set[str] = set()
+        for batch in batches:
+            fresh = {hit for text in batch["body"].to_pylist() if text for _, hit in automaton.iter(text)} - known
+            known |= fresh
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(fresh), pa.string())], ["needle"])
+
+    return run
