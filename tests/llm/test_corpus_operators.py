@@ -290,3 +290,15 @@ def test_warc(spark, tmp_path):
     names = spark.createDataFrame([("", "u", "x"), (None, "u", "y"), ("a\r\nb", "u", "z"), ("a>:%", "u", "w")], "page_id string, url string, html string")
     assert {r.page_id for r in warc.round_trip(names).collect()} == {"", None, "a\r\nb", "a>:%"}
     assert warc.surt("http://WWW.Example.org:8080/a?b=1") == "org,example,www:8080)/a?b=1"
+
+
+def test_the_order_of_rules_repeats(spark):
+    """A rule that reads whole texts and one that compares a number, both rejecting alike; ten times the same."""
+    dear = cascade.Rule("a_dear", lambda: F.regexp_count("_text", F.lit("(x+)+y")) == 0, cascade.text_length)
+    cheap = cascade.Rule("z_cheap", lambda: F.col("n_words") % 2 == 1)
+    rows = [(i, ("x y " if i % 2 else "z ") * (20 + i % 2), "s") for i in range(200)]
+    measured = cascade.measures(docs_of(spark, [(i, t + ("w" if i % 2 == 0 else ""), s) for i, t, s in rows]))
+    got = {tuple(r.name for r, _, _ in cascade.estimate_order(measured.repartition(k), (dear, cheap))) for k in range(1, 11)}
+    assert got == {("z_cheap", "a_dear")}
+    production = {tuple(r.name for r, _, _ in cascade.estimate_order(measured.repartition(k))) for k in range(1, 4)}
+    assert len(production) == 1
