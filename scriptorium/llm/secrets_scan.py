@@ -48,10 +48,15 @@ PATTERNS = {
     "stripe_key": (r"(?<![A-Za-z0-9])(?P<v>[rs]k_(?:live|test)_[A-Za-z0-9]{16,})", ("k_live_", "k_test_")),
     "google_api_key": (r"(?<![A-Za-z0-9])(?P<v>AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", ("AIza",)),
     "npm_token": (r"(?<![A-Za-z0-9])(?P<v>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", ("npm_",)),
+    "sendgrid_key": (r"(?<![A-Za-z0-9])(?P<v>SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64})", ("SG.",)),
+    "twilio_key": (r"(?<![A-Za-z0-9])(?P<v>SK[0-9a-f]{32})(?![A-Za-z0-9])", ("SK",)),
+    "model_key": (r"(?<![A-Za-z0-9_-])(?P<v>sk-(?:[a-z0-9]{1,12}-){0,3}[A-Za-z0-9_-]{20,})", ("sk-",)),
+    "account_key": (r"AccountKey=(?P<v>[A-Za-z0-9+/]{40,}={0,2})", ("AccountKey=",)),
+    "authorization": (r"(?i:authorization)[\"']?\s{0,4}:\s{0,4}[\"']?(?i:bearer|basic|token)\s{1,4}(?P<v>[A-Za-z0-9._~+/=-]{16,})", (":",)),
     "json_web_token": (r"(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", ("eyJ",)),
-    "private_key": (r"(?P<v>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", ("-----BEGIN ",)),
+    "private_key": (r"(?P<v>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----)", ("-----BEGIN ",)),
     "url_password": (r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:(?P<v>[^\s:/@]{6,})@", ("://",)),
-    "assignment": (r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s{0,8}(?:=|:|:=|=>)\s{0,8}[\"']?(?P<v>[^\"'\s,;]{8,})", ("=", ":")),
+    "assignment": (r"(?i:token|secret|passwd|password|pwd|_pass|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,8}(?:=|:|:=|=>)\s{0,8}[\"']?(?P<v>[^\"'\s,;]{8,})", ("=", ":")),
 }
 _SCAN = {k: (re.compile(p), words) for k, (p, words) in PATTERNS.items()}
 _KINDS = list(PATTERNS)
@@ -189,7 +194,7 @@ def _values(rng: random.Random) -> dict[str, tuple[Callable[[], str], Callable[[
     def framed(start: Callable[[], str], chars: str, size: Callable[[], int]) -> tuple[Callable[[], str], Callable[[], str]]:
         return (lambda: f"\x01{start()}{pick(chars, size())}\x02"), (lambda: f"\x01{start()}{dull(size())}\x02")
 
-    name = lambda: rng.choice(("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "API_KEY", "SECRET"))
+    name = lambda: rng.choice(("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "API_KEY", "SECRET", "pwd", "DB_PASS", "PRIVATE_KEY"))
     opens = lambda: rng.choice(((" = \"", "\""), ("=\"", "\""), (": '", "'"), (": ", ""), ("=", ""), (" = ", "")))
 
     def random_value() -> str:
@@ -208,6 +213,7 @@ def _values(rng: random.Random) -> dict[str, tuple[Callable[[], str], Callable[[
     checksum = lambda: f"{rng.choice(('commit', 'sha', 'checksum', 'digest'))} {name()}: \x01{hashlib.sha1(pick(_LOWER, 6).encode()).hexdigest()}\x02"
     likeness = assigned(plain_value)
     key = lambda: rng.choice(("", "", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "))
+    head = lambda: rng.choice((f"-----BEGIN {key()}PRIVATE KEY-----",) * 5 + ("-----BEGIN PGP PRIVATE KEY BLOCK-----",))
     body = lambda: rng.choice((f"\n{pick(mixed + '+/', 47)}", f"\n{pick(mixed + '+/', 47)}", ""))
     web = mixed + "-_"
     return {
@@ -218,23 +224,28 @@ def _values(rng: random.Random) -> dict[str, tuple[Callable[[], str], Callable[[
         "stripe_key": framed(lambda: rng.choice(("sk_live_", "rk_live_")), mixed, lambda: rng.randint(24, 34)),
         "google_api_key": framed(lambda: "AIza", web, lambda: 35),
         "npm_token": framed(lambda: "npm_", mixed, lambda: 36),
+        "sendgrid_key": (lambda: f"\x01SG.{pick(web, 22)}.{pick(web, 43)}\x02", lambda: f"\x01SG.{dull(22)}.{dull(43)}\x02"),
+        "twilio_key": framed(lambda: "SK", hexes, lambda: 32),
+        "model_key": framed(lambda: rng.choice(("sk-", "sk-proj-", "sk-live-")), mixed, lambda: rng.randint(24, 48)),
+        "account_key": (lambda: f"DefaultEndpointsProtocol=https;AccountName={pick(_LOWER, 8)};AccountKey=\x01{pick(mixed + '+/', 86)}==\x02;", lambda: f"AccountName={word()};AccountKey=\x01{dull(60)}\x02;"),
+        "authorization": (lambda: f"Authorization: {rng.choice(('Bearer', 'Basic', 'token'))} \x01{pick(web, rng.randint(24, 60))}\x02", lambda: f"Authorization: Bearer \x01{rng.choice((dull(30), 'your-token-goes-here', 'access-token-value'))}\x02"),
         "json_web_token": (
             lambda: f"\x01eyJ{pick(web, rng.randint(15, 40))}.eyJ{pick(web, rng.randint(20, 200))}.{pick(web, 43)}\x02",
             lambda: rng.choice(("\x01eyJhbGciOiJIUzI1NiJ9.payload-here.signature-here\x02", f"\x01eyJ{dull(20)}.{dull(20)}.{dull(20)}\x02", f"\x01eyJheader-{word()}.payload-{word()}.signature\x02")),
         ),
-        "private_key": (lambda: f"\x01-----BEGIN {key()}PRIVATE KEY-----\x02{body()}", lambda: f"\x01-----BEGIN {key()}PRIVATE KEY-----\x02\n{rng.choice(('example key', 'placeholder', 'dummy', 'test only', 'your key here, a sample'))}"),
+        "private_key": (lambda: f"\x01{head()}\x02{body()}", lambda: f"\x01{head()}\x02\n{rng.choice(('example key', 'placeholder', 'dummy', 'test only', 'your key here, a sample'))}"),
         "url_password": (lambda: f"{rng.choice(('postgres', 'https', 'amqp', 'mysql'))}://{pick(_LOWER, 5)}:\x01{random_value()[:24].replace('/', 'x')}\x02@{pick(_LOWER, 6)}.internal", lambda: f"https://user:\x01{rng.choice(('password', 'changeme', 'your-pass', 'xxxxxxxx', '<password>'))}\x02@host"),
         "assignment": (assigned(random_value), lambda: likeness() if rng.random() < 0.85 else checksum()),
     }
 
 
-def prose_contexts(n: int = 1000, seed: int = 5) -> list[tuple[str, str]]:
+def prose_contexts(n: int = 1500, seed: int = 5) -> list[tuple[str, str]]:
     """Made-up ``path, passage`` for fitting without a corpus."""
     rng = random.Random(seed)
     return [(rng.choice(("src", "web", "docs", "config", "")), " ".join("".join(rng.choice(_LOWER) for _ in range(rng.randint(2, 9))) for _ in range(16))) for _ in range(n)]
 
 
-def corpus_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", max_contexts: int = 1000) -> list[tuple[str, str]]:
+def corpus_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", max_contexts: int = 1500) -> list[tuple[str, str]]:
     """``path, passage`` cut from the ``max_contexts`` documents of the smallest
     hashes that are not held out, each at a place that its hash chooses."""
     text = F.coalesce(F.col(text_col), F.lit(""))

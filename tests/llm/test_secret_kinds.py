@@ -20,6 +20,11 @@ def planted(kind, rng):
         "stripe_key": lambda: "sk_live_" + pick(24),
         "google_api_key": lambda: "AIza" + pick(35),
         "npm_token": lambda: "npm_" + pick(36),
+        "sendgrid_key": lambda: f"SG.{pick(22)}.{pick(43)}",
+        "twilio_key": lambda: "SK" + pick(32, "0123456789abcdef"),
+        "model_key": lambda: rng.choice(("sk-", "sk-proj-")) + pick(40),
+        "account_key": lambda: f"AccountName=store;AccountKey={pick(86)}==;EndpointSuffix=x",
+        "authorization": lambda: f"Authorization: Bearer {pick(40)}",
         "url_password": lambda: f"postgres://app:{pick(16)}@db.internal/main",
         "json_web_token": lambda: f"eyJ{pick(33)}.eyJ{pick(60)}.{pick(43)}",
         "private_key": lambda: f"-----BEGIN {rng.choice(('', 'RSA ', 'EC ', 'OPENSSH '))}PRIVATE KEY-----\nMIIE{pick(60)}",
@@ -63,3 +68,17 @@ def test_real_values_beside_addresses_and_prose(spark, text):
     value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
     got = secrets_scan.scan(docs_of(spark, [(i, text.format(value()), "src3") for i in range(60)]), secrets_scan.fit()).collect()
     assert sum(r.n_findings == 1 for r in got) >= 57
+
+
+@pytest.mark.parametrize("frame", ["DB_PASS={}", "pwd={}", "PRIVATE_KEY={}", "-----BEGIN PGP PRIVATE KEY BLOCK-----\n{}", "authorization: Basic {}", "curl -H 'Authorization: token {}'"])
+def test_other_frames(spark, frame):
+    rng = random.Random(5)
+    rows = [(i, "some notes before it " + frame.format("".join(rng.choice(BASE64) for _ in range(32))) + " and after", "src1") for i in range(60)]
+    got = secrets_scan.scan(docs_of(spark, rows), secrets_scan.fit()).collect()
+    assert sum(r.n_findings >= 1 for r in got) >= 54
+
+
+def test_prose_and_code_have_no_findings(spark):
+    texts = ["the sk-learn package and SK is short for Slovakia; SG. is a lobbying group", "authorization: bearer of bad news arrives", "pwd=current_working_directory", "def private_key(self): return self.key", "compare AccountKey= with the manual", "see the task-force-on-something-quite-long-indeed note"]
+    got = secrets_scan.scan(docs_of(spark, [(i, t, "docs") for i, t in enumerate(texts)]), secrets_scan.fit()).collect()
+    assert sum(r.n_findings for r in got) == 0
