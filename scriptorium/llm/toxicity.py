@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import held_out, materialize, spread
+from .shared import held_out, materialize, release_memory, spread
 from .shingles import chunks, word_hashes
 from .wu_manber import WORD_BYTES
 
@@ -286,6 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     place = _placed(owner, number, weight, len(y))
     index = BlockMaxIndex(len(terms), len(y), np.argsort(place).astype(np.int32)[owner], number, weight)
     model = Model(space, index, y[place], [names[i] for i in place], n1 / (n0 + n1), k, smooth)
+    del owner, number, weight, with0, with1, idf
+    release_memory()
     model.sent = docs.sparkSession.sparkContext.broadcast(model)
     model.xs, model.ys = calibration(table, model, rows[place])
     return model
@@ -317,6 +319,7 @@ def calibration(sample: DataFrame, model: Model, rows: np.ndarray) -> tuple[np.n
 
     found = spread(sample.select("row", "terms", "counts")).mapInArrow(votes, "at long, vote double").toArrow()
     places.destroy()
+    release_memory()
     vote = np.zeros(len(rows))
     vote[found["at"].to_numpy()] = found["vote"].to_numpy()
     return isotonic(vote, model.labels)
