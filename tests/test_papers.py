@@ -95,7 +95,7 @@ def test_top_k(spark):
 def test_covered_evidence(spark):
     texts = spark.createDataFrame([("the quick brown fox",), ("xa by c",)], "t string")
     items = spark.createDataFrame([(1, "quick brown"), (2, "uick brown fo"), (3, "a b"), (4, "slow fox"), (5, ""), (6, "a by c")], "i int, n string")
-    got = retrieval.covered_evidence(items, texts, F.col("n"), F.col("t"), "i", block=2).collect()
+    got = retrieval.covered_evidence(items, texts, F.col("n"), F.col("t"), "i", shard_bytes=2).collect()
     assert sorted(r.i for r in got) == [1, 2, 3, 6]
 
 
