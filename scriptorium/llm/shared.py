@@ -76,7 +76,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` once to the shared folder and read it back."""
+    """Cut the lineage: write ``df`` once to the shared folder and read it back.
+
+    While the write runs the session lets the shuffle files of ended jobs go.  A
+    query that another thread runs in the same session meanwhile stays right; if
+    it reads a shuffle of an ended job again, it makes that anew.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     before = spark.conf.get(CLEANUP) if spark.conf.isModifiable(CLEANUP) else None
@@ -132,10 +137,6 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def new_name() -> str:
-    return uuid.uuid4().hex
-
-
 def bitmap(rows: DataFrame, key: Column) -> np.ndarray:
     """A map of ``MAP_BITS`` bits with the bit of every long ``key`` set.
 

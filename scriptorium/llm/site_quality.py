@@ -21,7 +21,8 @@ Defined results: null and empty texts have zero features; a null host or path
 is a site of its own; null labels are ignored, repeated labels of an id count
 once (the largest); without labels of both kinds every document scores the
 share of good labels (1 if there are none); repeated rows give repeated
-results; texts of any length are read whole; other columns of the tables are
+results, and rows of equal features on one path have equal scores; ids whose
+hashes tie are ordered by the id where the sample is drawn; texts of any length are read whole; other columns of the tables are
 ignored, whatever their names; an empty table gives an empty result.
 """
 

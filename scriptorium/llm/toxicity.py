@@ -49,8 +49,9 @@ OPENED = 8
 COMMON, SHARE = 512, 1 / 64
 #: Documents whose product with the full columns is taken together, and its rounding.
 TOGETHER, MARGIN = 32, 2e-5
-#: Likelihood ratio that doubles the weight of a term.
-RATIO = 25.0
+#: Likelihood ratio that doubles the weight of a term.  Of 5, 10, 25, 50, 100, 400 and none it has the
+#: smallest log loss of the votes of labelled rows that are not held out, each with itself left out.
+RATIO = 10.0
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
