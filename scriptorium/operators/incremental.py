@@ -52,10 +52,12 @@ def first_seen(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """The first row of each key, whole; by aggregation, not by a window.
 
     Only a 128-bit digest of the key and the order are shuffled; the chosen
-    rows are found again by both.  Of rows that tie in the order one stays.
+    rows are found again by both.  Of rows that tie in the order the one with
+    the smallest hash of its columns (maps left out) stays, however they arrive.
     """
     digest = F.unhex(F.md5(key.cast("string").cast("binary")))
-    marked = rows.withColumns({"_key": F.coalesce(digest, F.lit(b"")), "_at": F.struct(*order)})
+    settled = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()])
+    marked = rows.withColumns({"_key": F.coalesce(digest, F.lit(b"")), "_at": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], settled.alias("row"))})
     picked = marked.groupBy("_key").agg(F.min("_at").alias("_at"))
     return marked.join(picked, ["_key", "_at"], "left_semi").dropDuplicates(["_key", "_at"]).drop("_key", "_at")
 

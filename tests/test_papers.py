@@ -169,3 +169,12 @@ def test_providers(monkeypatch):
     plugins.register_provider("Mine", plugins.ExtractiveGenerator)
     assert isinstance(plugins.get_provider("mine"), plugins.ExtractiveGenerator)
     assert plugins.HashedEmbedder(8).encode([]).shape == (0, 8)
+
+
+def test_first_seen_ties_do_not_depend_on_arrival(spark):
+    rows = [(1, "same", "a"), (1, "same", "b"), (1, "same", "c"), (2, "other", "d")]
+    got = set()
+    for k in range(3):
+        frame = spark.createDataFrame(rows[k:] + rows[:k], "n int, text string, tag string").repartition(k + 1)
+        got.add(tuple(sorted(tuple(r) for r in incremental.first_seen(frame, F.col("text"), [F.col("n")]).collect())))
+    assert len(got) == 1 and len(next(iter(got))) == 2
