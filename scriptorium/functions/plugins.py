@@ -10,12 +10,14 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 from urllib import request
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ OLLAMA_HOST, OLLAMA_MODEL = "http://localhost:11434", "llama3.1:8b"
 PROVIDER_VARIABLE = "SCRIPTORIUM_TEXT_PROVIDER"
 
 
+#: Characters of texts that Python works on at once.
+TOGETHER = 1 << 20
+
+
 class Tokenizer(Protocol):
     def __call__(self, text: str) -> Sequence[tuple[int, int]]:
         """Character offsets (start, end) of the tokens, in order."""
@@ -121,11 +127,37 @@ def embed(build: Callable[[], Embedder], batch_size: int = 16) -> Callable[[Colu
     return run
 
 
+def in_parts(texts: list[str | None], most: int = TOGETHER) -> Iterator[list[str]]:
+    """The texts in their order, some at a time: about ``most`` characters, one text at least; null ones are empty.
+
+    A batch of Spark's holds thousands of texts, and what Python makes of each is many times its size.
+    """
+    some: list[str] = []
+    size = 0
+    for text in texts:
+        some.append(text or "")
+        size += len(some[-1])
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def offsets(tokenizer: Tokenizer = word_offsets) -> Callable[[Column], Column]:
     """Token offsets as ``array<struct<s:int,e:int>>`` for any tokenizer."""
 
-    @F.pandas_udf("array<struct<s:int,e:int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"s": a, "e": b} for a, b in tokenizer(t or "")])
+    @F.arrow_udf("array<struct<s:int,e:int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for some in in_parts(texts.to_pylist()):
+                ends, flat = [0], array("i")
+                for text in some:
+                    for span in tokenizer(text):
+                        flat.extend(span)
+                    ends.append(len(flat) // 2)
+                pairs = np.frombuffer(flat, np.int32).reshape(-1, 2)
+                spans = pa.StructArray.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["s", "e"])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
 
     return run

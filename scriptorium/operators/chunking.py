@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip, words
@@ -40,16 +39,13 @@ def chunk_offsets(docs: DataFrame, id_col: str, text_col: str, offsets: Column,
     """The same with tokens at given character offsets (``array<struct<s,e>>``).
 
     The text of a window is the original from its first to its last token,
-    stripped; blank windows are dropped and do not use up an index.
+    stripped; blank windows are dropped and do not use up an index.  Each row is
+    a text of its own, rows of the same id too; no shuffle.
     """
     tokens = docs.select(id_col, F.col(text_col).alias("body"), offsets.alias("o"))
-    rows = tokens.select(id_col, "body", "o", F.explode(window_starts(F.size("o"), size, overlap)).alias("at"))
-    last = F.least(F.col("at") + size, F.size("o"))
-    begin, end = F.get("o", F.col("at"))["s"], F.get("o", last - 1)["e"]
-    rows = rows.select(id_col, "at", strip(F.substring("body", begin + 1, end - begin)).alias("text"), (last - F.col("at")).alias("token_count"))
-    rows = rows.where(F.col("text") != "")
-    order = F.row_number().over(W.partitionBy(id_col).orderBy("at")) - 1
-    return rows.select(id_col, order.alias("chunk_idx"), "text", "token_count")
+    last = lambda at: F.least(at + size, F.size("o"))
+    border = lambda at: F.struct(F.get("o", at)["s"].alias("s"), F.get("o", last(at) - 1)["e"].alias("e"), (last(at) - at).alias("n"))
+    return chunk_spans(tokens, id_col, "body", F.transform(window_starts(F.size("o"), size, overlap), border))
 
 
 def chunk_spans(docs: DataFrame, id_col: str, text_col: str, windows: Column, keep: Sequence[str] = ()) -> DataFrame:
