@@ -8,11 +8,13 @@ formed; it is cut with regular expressions inside the JVM.
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plugins import in_parts
 from ..schemas import SECTION
 from .chunking import NO_HEADING, NO_TITLE
 
@@ -46,14 +48,16 @@ def tei_struct(min_text_len: int = 10):
     """Column function: one parse of each document; errors stay as data."""
 
     @F.pandas_udf(PARSED)
-    def run(xml: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in xml:
-            try:
-                rows.append(parse_tei(text or "", min_text_len))
-            except ET.ParseError as e:
-                rows.append({"title": None, "abstract": None, "sections": [], "error": str(e)[:200]})
-        return pd.DataFrame(rows, columns=["title", "abstract", "sections", "error"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for xml in batches:
+            for some in in_parts(xml.tolist()):
+                rows = []
+                for text in some:
+                    try:
+                        rows.append(parse_tei(text, min_text_len))
+                    except ET.ParseError as e:
+                        rows.append({"title": None, "abstract": None, "sections": [], "error": str(e)[:200]})
+                yield pd.DataFrame(rows, columns=["title", "abstract", "sections", "error"])
 
     return run.asNondeterministic()  # never evaluated once more for each field
 
