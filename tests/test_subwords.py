@@ -53,3 +53,18 @@ def test_cut(spark):
     docs = spark.createDataFrame([("one two three four",), ("one two",), (None,), ("",)], "t string")
     got = docs.select(subwords.cut_to_tokens(spark, path, 3)(F.col("t")).alias("t")).collect()
     assert [r.t for r in got] == ["one two three", "one two", None, ""]
+
+
+def test_stretches_have_the_tokens_of_the_whole_text(spark, sf):
+    """White space of every kind, special strings, marks that combine, and words beyond what a task keeps."""
+    definition = [subwords.read_definition(public_tokenizers.path(n)) for n in FILES]
+    assert [subwords.split_at_space(d) for d in definition] == [True, False]
+    tokenizer = subwords.tokenizer_of(definition[0])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()
+    texts = [d.text or "" for d in docs] + ["a b c ́e é\tDON'T 's\x0b'S İI \x1c\x85 <|endoftext|>x y<|endoftext|> <| startoftext|>", "", " \n", "́ ​", "x" * 3000 + " " + "é" * 70]
+    known = subwords.Stretches(tokenizer)
+    for text in texts:
+        whole = tokenizer.encode(text, add_special_tokens=False).offsets
+        for shape in ((128, 32), (1, 0), (3, 2)):
+            assert subwords.borders_by_stretch(text, known, *shape) == subwords.window_borders(whole, *shape)
+    assert max(map(len, known)) <= subwords.KEPT
